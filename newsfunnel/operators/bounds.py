@@ -1,0 +1,18 @@
+"""Size checks before a join side is broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only after seeing that `dim` has at most `max_rows` rows.
+
+    The probe reads no more than max_rows + 1 rows. A larger table gets no hint, so the join
+    shuffles both sides and adaptive execution splits hot keys.
+    """
+    if dim.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(dim)
+    return dim
