@@ -32,7 +32,7 @@ def article_id(spark, sf):
 
 
 @query("source_from_url", f"""
-    SELECT page_id, {S.host('url')} AS of_url, 'Unknown' AS of_path,
+    SELECT page_id, {S.host('url')} AS of_url, 'Unknown' AS of_path
     FROM pages""")
 def source_from_url(spark, sf):
     path = F.regexp_replace("url", "^[a-z]+://", "")

@@ -134,9 +134,6 @@ def export_rows(
 
 
 def plain_number(c: Column) -> Column:
-    """A number as text without a trailing '.0'; '' for NULL."""
-    whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
-    return F.coalesce(
-        F.when(whole, c.cast("decimal(20,0)").cast("string")).otherwise(c.cast("string")),
-        F.lit(""),
-    )
+    """A number as plain decimal text, shortest form, never in exponent notation; '' for NULL."""
+    digits = c.cast("string").try_cast("decimal(38,17)").cast("string")
+    return F.coalesce(F.regexp_replace(digits, r"\.?0*$", ""), F.lit(""))

@@ -1,34 +1,36 @@
-"""Declared schemas of the data model. Nothing is inferred at read time."""
+"""Declared schemas of the data model, as DDL. Nothing is inferred at read time."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
 # A feed item as landed; `source` takes the element text with or without attributes.
-FEED_ITEM = StructType.fromDDL(
+FEED_ITEM = (
     "title string, link string, isoDate string, pubDate string, contentSnippet string, "
     "content string, source string, _corrupt_record string"
 )
 
-ARTICLE = StructType.fromDDL(
+ARTICLE = (
     "id string, title string, url string, source string, source_tier int, "
     "published_at timestamp, snippet string, query_term string, feed_pos bigint"
 )
 
-MEMBERSHIP = StructType.fromDDL("article_id string, cluster_id string")
+MEMBERSHIP = ("article_id string, cluster_id string")
 
-CLUSTER = StructType.fromDDL("cluster_id string, canonical_id string, size bigint")
+CLUSTER = ("cluster_id string, canonical_id string, size bigint")
 
-VERDICT = StructType.fromDDL(
+VERDICT = (
     "id string, is_deal boolean, verdict_type string, confidence double, reasoning string"
 )
 
-DEAL = StructType.fromDDL(
+DEAL = (
     "deal_id string, cluster_id string, acquirer string, target string, deal_type string, "
     "deal_value double, currency string, stake_pct double, category string, region string, "
     "announced_date timestamp, relevance_conf double"
 )
 
-PROSE = StructType.fromDDL(
+PROSE = (
     "deal_id string, headline string, summary string, why_it_matters string"
 )
+
+
+def names(ddl: str) -> list[str]:
+    return [column.split()[0] for column in ddl.split(",")]

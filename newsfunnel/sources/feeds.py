@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
 
 from newsfunnel import schemas
 from newsfunnel.functions import text
 
-RAW_ITEM = StructType.fromDDL(
+RAW_ITEM = (
     "title string, link string, isoDate string, pubDate string, contentSnippet string, "
     "content string, description string, source string, _corrupt_record string"
 )
@@ -31,7 +30,7 @@ def shape_items(raw: DataFrame) -> DataFrame:
         "title", "link", "isoDate", "pubDate",
         F.coalesce("contentSnippet", text.strip_html(content)).alias("contentSnippet"),
         content.alias("content"), "source", "_corrupt_record",
-    ).select("feed", "feed_pos", *schemas.FEED_ITEM.fieldNames())
+    ).select("feed", "feed_pos", *schemas.names(schemas.FEED_ITEM))
 
 
 def scan_feeds(spark: SparkSession, path: str) -> DataFrame:
