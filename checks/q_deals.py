@@ -42,11 +42,11 @@ def coerced(spark, sf):
 
 
 @query("coerce_deal", S.with_views("deals_v", body=f"""
-    SELECT * REPLACE (CAST(floor(deal_value) AS BIGINT) AS deal_value) FROM ({_COERCED})"""))
+    SELECT * REPLACE (floor(deal_value) AS deal_value) FROM ({_COERCED})"""))
 def coerce_deal(spark, sf):
     return coerced(spark, sf).select(
         "deal_id", "acquirer", "target", "deal_type",
-        F.floor("deal_value").alias("deal_value"), "currency",
+        F.floor("deal_value").cast("double").alias("deal_value"), "currency",
         "stake_pct", "category", "region",
         F.date_format("announced_date", "yyyy-MM-dd").alias("announced"), "relevance_conf")
 

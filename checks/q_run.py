@@ -144,9 +144,14 @@ def render_requests(spark, sf):
     return batches.render_requests(_packed(spark, sf), text.title_line(F.col("n"), F.col("text")))
 
 
+def shown(flag):
+    """A three-valued flag as text."""
+    return F.when(flag, F.lit("yes")).when(~flag, F.lit("no")).otherwise(F.lit("unanswered"))
+
+
 @query("match_by_echo", f"""
-    WITH {_PACKED} SELECT conv_id, turn, CASE role WHEN 'user' THEN true WHEN 'assistant' THEN
-      turn % 2 = 1 END AS screen FROM packed""")
+    WITH {_PACKED} SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'unanswered'
+      WHEN role = 'user' OR turn % 2 = 1 THEN 'yes' ELSE 'no' END AS screen FROM packed""")
 def match_by_echo(spark, sf):
     """Answers are built from the turns: system turns stay unanswered, entries come in reverse
     order, and every answer is preceded by a contrary one that it overrides."""
@@ -165,7 +170,7 @@ def match_by_echo(spark, sf):
     responses = both.select("batch", F.concat(
         F.lit('Verdicts: {"v": ['), body, F.lit("]} done")).alias("response"))
     return batches.match_by_echo(packed, responses).select(
-        "conv_id", "turn", batches.screen_flag(F.col("answer")).alias("screen"))
+        "conv_id", "turn", shown(batches.screen_flag(F.col("answer"))).alias("screen"))
 
 
 def _sizes(rows: list[dict]) -> str:
@@ -223,8 +228,8 @@ def _confirm(rows: list[dict]) -> str:
 
 
 @query("relevance_cascade", S.with_views("doc_articles_v", body=f"""
-    SELECT id, pre AS pre_filtered, CASE WHEN pre AND length(title) % 7 <> 0 THEN
-        length(title) % 3 <> 0 END AS screen,
+    SELECT id, pre AS pre_filtered, CASE WHEN NOT pre OR length(title) % 7 = 0 THEN
+        'unanswered' WHEN length(title) % 3 <> 0 THEN 'yes' ELSE 'no' END AS screen,
       short AND length(snippet) % 11 <> 0 AS answered,
       short AND length(snippet) % 11 <> 0 AND length(snippet) % 2 = 0 AS is_deal
     FROM (SELECT *, pre AND (length(title) % 7 = 0 OR length(title) % 3 <> 0) AS short
@@ -232,7 +237,7 @@ def _confirm(rows: list[dict]) -> str:
 def relevance_cascade(spark, sf):
     flags, _ = cascade.relevance_cascade(
         V.doc_articles_v(spark, sf), _screen, _confirm, parallel=4, **V.PATTERNS)
-    return flags
+    return flags.withColumn("screen", shown(F.col("screen")))
 
 
 def _extract(rows: list[dict]) -> str:

@@ -244,7 +244,7 @@ def cosine_column(spark, sf):
 
 @query("parse_model_json", """
     SELECT event_id, CASE WHEN event_type <> 'error' THEN
-      CAST(json_extract(props, '$.k') AS BIGINT) END AS k, event_type <> 'error' AS usable
+      CAST(json_extract(props, '$.k') AS DOUBLE) END AS k, event_type <> 'error' AS usable
     FROM events""")
 def parse_model_json(spark, sf):
     props = F.col("props")
@@ -255,5 +255,5 @@ def parse_model_json(spark, sf):
     )
     v = model_json.parse_model_json(answer)
     return V.table(spark, sf, "events").select(
-        "event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"),
+        "event_id", F.try_variant_get(v, "$.k", "double").alias("k"),
         v.isNotNull().alias("usable"))

@@ -22,15 +22,15 @@ def feed_name(path):
 
 
 def shape_items(raw: DataFrame) -> DataFrame:
-    """(feed, feed_pos, FEED_ITEM columns) from the raw XML rows."""
+    """(feed, path, FEED_ITEM columns) from the raw XML rows."""
     content = F.coalesce("content", "description")
     return raw.select(
         feed_name(F.col("_metadata.file_path")).alias("feed"),
-        F.monotonically_increasing_id().alias("feed_pos"),
+        F.col("_metadata.file_path").alias("path"),
         "title", "link", "isoDate", "pubDate",
         F.coalesce("contentSnippet", text.strip_html(content)).alias("contentSnippet"),
         content.alias("content"), "source", "_corrupt_record",
-    ).select("feed", "feed_pos", *schemas.names(schemas.FEED_ITEM))
+    ).select("feed", "path", *schemas.names(schemas.FEED_ITEM))
 
 
 def scan_feeds(spark: SparkSession, path: str) -> DataFrame:
@@ -40,11 +40,11 @@ def scan_feeds(spark: SparkSession, path: str) -> DataFrame:
         spark.read.format("xml").options(**READ_OPTIONS).option("recursiveFileLookup", "true")
         .schema(RAW_ITEM).load(path)
     )
-    return shape_items(raw)
+    return shape_items(raw).withColumn("feed_pos", F.monotonically_increasing_id()).drop("path")
 
 
 def stream_feeds(spark: SparkSession, path: str) -> DataFrame:
-    """The same items as a stream of newly landed files."""
+    """The same items, not yet numbered, as a stream of newly landed files."""
     raw = (
         spark.readStream.format("xml").options(**READ_OPTIONS)
         .option("recursiveFileLookup", "true").schema(RAW_ITEM).load(path)

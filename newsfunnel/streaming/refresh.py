@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsfunnel import dims
+from newsfunnel.operators.numbering import with_ordinal
 from newsfunnel.plans.digest_run import DigestOptions, DigestRun, run_digest
 from newsfunnel.sources import feeds, snapshot
 
 
+BATCH_SPAN = 10**12  # more items than one micro-batch can hold
+
+
 def preset(opts: DigestOptions) -> DigestOptions:
     """The refresh budget: the same run, a narrower window and a lower per-feed cap."""
     return replace(
@@ -24,10 +28,15 @@ def land_new_items(spark: SparkSession, feed_path: str, store: str, checkpoint:
     """Append the items of files that arrived since the last refresh, then stop.
 
     Each micro-batch owns one folder and overwrites it, so a repeated batch changes nothing.
+    Arrival order goes on across batches: feed_pos is the batch number, then the place in it.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
+        read = batch.withColumn("_at", F.monotonically_increasing_id())
+        numbered = with_ordinal(read, [F.asc("path"), F.asc("_at")], "feed_pos")
+        numbered.withColumn("feed_pos", F.lit(batch_id * BATCH_SPAN) + F.col("feed_pos")).drop(
+            "path", "_at"
+        ).write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
 
     query = (
         feeds.stream_feeds(spark, feed_path).writeStream.foreachBatch(append)
