@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsfunnel.functions import text, urls
 from newsfunnel.operators import credibility, rank
-from newsfunnel.session import shared_dir
+from newsfunnel.session import shared_dir, spread
 
 CATEGORIES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 NOW = dt.datetime(2001, 8, 2, tzinfo=dt.timezone.utc)
@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     for field in df.schema.fields:  # stored without a zone; they are UTC
         if field.dataType.typeName() == "timestamp_ntz":
             df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
-    return df
+    return spread(df) if name in ("documents", "pages", "conversations") else df
 
 
 def _hours_after(start: str, hours) -> F.Column:

@@ -6,6 +6,7 @@ Every operator takes its vocabulary as a parameter; the values here are only the
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 # --- Fixed values: they decide results, so they are stated plainly ------------------------
@@ -176,26 +177,34 @@ EXPORT_COLUMNS = [
 ]
 
 # --- Lookup tables ------------------------------------------------------------------------
+# Built from Arrow tables, so Catalyst knows their exact size and itself decides whether a
+# join broadcasts them; a caller's own, larger table is shuffled instead.
 
 
 def alias_dim(spark: SparkSession, aliases: dict[str, str] = SOURCE_ALIASES) -> DataFrame:
     """(alias_key, unified): one row per known publisher spelling."""
-    return spark.createDataFrame(list(aliases.items()), "alias_key string, unified string")
+    columns = {"alias_key": list(aliases), "unified": list(aliases.values())}
+    schema = pa.schema([("alias_key", pa.string()), ("unified", pa.string())])
+    return spark.createDataFrame(pa.table(columns, schema))
 
 
 def tier_dim(
     spark: SparkSession, tier1: list[str] = TIER_1, tier2: list[str] = TIER_2
 ) -> DataFrame:
     """(tier_source, tier): the allowlist; everything absent is tier 3."""
-    rows = [(s, 1) for s in tier1] + [(s, 2) for s in tier2 if s not in tier1]
-    return spark.createDataFrame(rows, "tier_source string, tier int")
+    tiers = {**{s: 2 for s in tier2}, **{s: 1 for s in tier1}}
+    schema = pa.schema([("tier_source", pa.string()), ("tier", pa.int32())])
+    columns = {"tier_source": list(tiers), "tier": list(tiers.values())}
+    return spark.createDataFrame(pa.table(columns, schema))
 
 
 def blocklist_dim(spark: SparkSession, blocked: list[str] = BLOCKED_SOURCES) -> DataFrame:
-    return spark.createDataFrame([(b,) for b in blocked], "blocked string")
+    schema = pa.schema([("blocked", pa.string())])
+    return spark.createDataFrame(pa.table({"blocked": list(blocked)}, schema))
 
 
 def category_dim(spark: SparkSession, categories: list[str] = CATEGORIES) -> DataFrame:
     """(category, category_pos): the canonical section order."""
-    rows = [(c, i) for i, c in enumerate(categories)]
-    return spark.createDataFrame(rows, "category string, category_pos int")
+    schema = pa.schema([("category", pa.string()), ("category_pos", pa.int32())])
+    columns = {"category": list(categories), "category_pos": list(range(len(categories)))}
+    return spark.createDataFrame(pa.table(columns, schema))

@@ -13,6 +13,26 @@ def parse_model_json(c: Column) -> Column:
     )
 
 
+def parsed_fields(c: Column, fields: list[str]) -> Column:
+    """Array with one struct of the named fields as text, or empty for an unusable answer.
+
+    Same salvage rule as `parse_model_json`, read in one pass per attempt. Explode it: a
+    generator is evaluated once, where a filter on the parsed value would parse again.
+    """
+    schema = ", ".join(f"{f} string" for f in fields) + ", _bad string"
+    options = {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"}
+
+    def read(text: Column) -> Column:
+        return F.from_json(text, schema, options)
+
+    retried = F.transform(
+        F.array(read(c)),
+        lambda s: F.when(s["_bad"].isNull(), s).otherwise(
+            read(F.regexp_extract(c, r"(?s)\{.*\}", 0))),
+    )
+    return F.filter(retried, lambda s: s.isNotNull() & s["_bad"].isNull())
+
+
 def text_at(v: Column, path: str) -> Column:
     """A field that must be a JSON string; any other JSON type counts as absent."""
     is_text = F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING"

@@ -56,12 +56,12 @@ def after_headline(text: Column) -> Column:
 
 def name_tokens(c: Column) -> Column:
     """Lower-cased ASCII alphanumeric runs, in order."""
-    return F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1))
+    return F.array_remove(F.split(F.lower(c), "[^a-z0-9]+"), "")
 
 
 def normalize_title(c: Column) -> Column:
     """Tokens of a title, sorted, so word order stops mattering."""
-    return F.array_join(F.array_sort(name_tokens(c)), " ")
+    return F.array_join(F.sort_array(name_tokens(c)), " ")
 
 
 def ratio_permille(min_ratio: int) -> int:

@@ -68,7 +68,7 @@ def _kept_query(query: Column, tracking: str) -> Column:
         params, lambda p, i: F.struct(_param_name(p).alias("k"), i.alias("i"), p.alias("p"))
     )
     kept = F.filter(named, lambda s: ~F.lower(s["k"]).rlike(tracking))
-    return F.array_join(F.transform(F.array_sort(kept), lambda s: s["p"]), "&")
+    return F.array_join(F.transform(F.sort_array(kept), lambda s: s["p"]), "&")
 
 
 def _rebuild(parts: Column, tracking: str) -> Column:

@@ -33,7 +33,7 @@ def pack_batches(df: DataFrame, size: int, order: list[Column]) -> DataFrame:
 def gather_batches(packed: DataFrame, columns: list[str]) -> DataFrame:
     """One row per batch: (batch, items), items sorted by n."""
     return packed.groupBy("batch").agg(
-        F.array_sort(F.collect_list(F.struct("n", *columns))).alias("items")
+        F.sort_array(F.collect_list(F.struct("n", *columns))).alias("items")
     )
 
 

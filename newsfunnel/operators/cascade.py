@@ -90,8 +90,10 @@ def extract_deals(
     prompt = text.extract_prompt(
         F.col("title"), F.col("source"), F.col("published_at"), F.col("snippet")
     )
-    packed = cut_lineage(batches.pack_batches(
-        judged.select("id", prompt.alias("prompt")), 1, [F.asc("id")]
+    # Batches of one need no order, only distinct numbers that stay as they are.
+    packed = cut_lineage(judged.select(
+        "id", prompt.alias("prompt"), F.lit(1).alias("n"),
+        F.monotonically_increasing_id().alias("batch"),
     ))
     answers = cut_lineage(batches.score_batches(packed, extract_fn, ["prompt"], parallel))
     answered = packed.join(answers, "batch").select("id", F.col("response").alias("answer"))

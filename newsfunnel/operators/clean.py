@@ -11,7 +11,7 @@ from newsfunnel.operators.ingest import unify_source
 
 def tier_for(df: DataFrame, tiers: DataFrame, source: str = "source") -> DataFrame:
     """Add source_tier by allowlist lookup on a unified name; unknown publishers are tier 3."""
-    known = F.broadcast(tiers.withColumnRenamed("tier_source", source))
+    known = tiers.withColumnRenamed("tier_source", source)
     return (
         df.drop("source_tier").join(known, source, "left")
         .withColumn("source_tier", F.coalesce("tier", F.lit(dims.UNKNOWN_TIER)))

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import FloatType
 
 from newsfunnel import dims
@@ -47,12 +47,25 @@ def _unit(rows) -> np.ndarray:
     return mat / np.linalg.norm(mat, axis=1, keepdims=True)
 
 
-def _place(reps: DataFrame, threshold: float, n_cells: int) -> DataFrame:
-    """(id, vec, weight, cell, role) with one row per cell a vector must appear in."""
+def _pivots(reps: DataFrame, n_cells: int, ball_floor: float) -> np.ndarray:
+    """Unit vectors of at most n_cells rows, none inside the ball of an earlier one, so that a
+    family of near copies gets one pivot however large it is."""
     sample = reps.orderBy(F.xxhash64("id"), "id").limit(n_cells).select("vec").collect()
-    pivots = _unit([r["vec"] for r in sample])  # at most MAX_CELLS vectors
+    kept: list[np.ndarray] = []
+    for vec in _unit([r["vec"] for r in sample]):
+        if all(vec @ k < ball_floor for k in kept):
+            kept.append(vec)
+    return np.stack(kept)
+
+
+def _place(reps: DataFrame, threshold: float, n_cells: int) -> DataFrame:
+    """(id, contact, vec, weight, cell, role) with one row per cell a vector must appear in.
+
+    `contact` names a vector for linking: its own id, or the mark of its ball.
+    """
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + _SLACK
     ball_floor = math.sqrt((1 + threshold) / 2) + 1e-7
+    pivots = _pivots(reps, n_cells, ball_floor)
     gaps = np.linalg.norm(pivots[:, None, :] - pivots[None, :, :], axis=2)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,9 +97,14 @@ def _place(reps: DataFrame, threshold: float, n_cells: int) -> DataFrame:
         "guests", lambda c: F.struct(c.alias("cell"), F.lit(_GUEST).alias("role"))
     )
     stops = F.concat(F.array(own), away)
-    return placed.select("id", "vec", "weight", F.explode(stops).alias("at")).select(
-        "id", "vec", "weight", "at.cell", "at.role"
-    )
+    contact = F.when(F.col("ball"), ball_mark(F.col("home"))).otherwise(F.col("id"))
+    return placed.select(
+        "id", contact.alias("contact"), "vec", "weight", F.explode(stops).alias("at")
+    ).select("id", "contact", "vec", "weight", "at.cell", "at.role")
+
+
+def ball_mark(cell: Column) -> Column:
+    return F.concat(F.lit("\u0001"), cell.cast("string"))
 
 
 def _tiles(placed: DataFrame, n_rows: int, n_cells: int) -> DataFrame:
@@ -194,8 +212,11 @@ class _Prepared:
             return
         self.cells = n_cells or min(MAX_CELLS, max(1, math.ceil(self.n / CELL_ROWS)))
         self.cells = min(self.cells, self.n)
-        placed = _place(self.reps, threshold, self.cells)
-        self.tiles = _tiles(placed, self.n, self.cells)
+        self.placed = _place(self.reps, threshold, self.cells)
+        if skip_balls:
+            self.placed = cut_lineage(self.placed)
+        named = self.placed.withColumn("id", F.col("contact" if skip_balls else "id"))
+        self.tiles = _tiles(named.drop("contact"), self.n, self.cells)
         self.pairs = _tile_pairs(self.tiles, self.n, self.cells, skip_balls)
 
     def run(self, kernel, schema):
@@ -241,23 +262,32 @@ def cosine_links(
 ) -> DataFrame:
     """Edges (a, b) with the same connected components as all similar pairs.
 
-    Vectors within half the allowed angle of their pivot are all similar to each other, so
-    they hang on one of them and are never compared among themselves.
+    Vectors within half the allowed angle of their pivot, its ball, are all similar to each
+    other: they hang on one of them and are never compared among themselves. Whatever else
+    touches a ball is linked to it once, not to its members.
     """
     prepared = _Prepared(df, id_col, vec, threshold, n_cells, skip_balls=True)
-    near = prepared.run(_pair_rows(threshold), _PAIR).select("a", "b")
-    edges = near.unionByName(prepared.copies)
+    pairs = _pair_rows(threshold)
+
+    def contacts(sims: np.ndarray, row) -> pd.DataFrame:
+        return pairs(sims, row)[["a", "b"]].drop_duplicates()
+
+    met = prepared.run(contacts, "a string, b string").distinct()
     if prepared.n == 0:
-        return edges
-    ball = prepared.tiles.filter(F.col("role") == _BALL).select(
-        "cell", F.explode("ids").alias("id")
-    )
-    heads = ball.groupBy("cell").agg(F.min("id").alias("a"))  # one row per cell
+        return met
+    ball = prepared.placed.filter(F.col("role") == _BALL).select("cell", "id")
+    heads = ball.groupBy("cell").agg(F.min("id").alias("head"))  # one row per cell
     stars = (
-        ball.join(F.broadcast(heads), "cell").filter(F.col("id") != F.col("a"))
-        .select("a", F.col("id").alias("b"))
+        ball.join(F.broadcast(heads), "cell").filter(F.col("id") != F.col("head"))
+        .select(F.col("head").alias("a"), F.col("id").alias("b"))
     )
-    return edges.unionByName(stars)
+    marks = heads.select(ball_mark(F.col("cell")).alias("mark"), "head")
+    for side in ("a", "b"):
+        met = (
+            met.join(F.broadcast(marks.withColumnRenamed("mark", side)), side, "left")
+            .withColumn(side, F.coalesce("head", side)).drop("head")
+        )
+    return met.unionByName(stars).unionByName(prepared.copies)
 
 
 def top_pairs(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsfunnel import dims
+from newsfunnel.operators.merge import members_of
 
 
 def badge_for(score: Column) -> Column:
@@ -21,11 +22,9 @@ def deal_evidence(deals: DataFrame, membership: DataFrame, articles: DataFrame)
     A deal whose cluster is unknown falls back to its own article; members without an article
     are dropped.
     """
-    members = deals.select("deal_id", "cluster_id").join(membership, "cluster_id", "left")
+    members = members_of(deals.select("deal_id", "cluster_id"), membership, "deal_id")
     known = articles.select(F.col("id").alias("article_id"), "source", "source_tier")
-    return members.select(
-        "deal_id", F.coalesce("article_id", "deal_id").alias("article_id")
-    ).join(known, "article_id")
+    return members.select("deal_id", "article_id").join(known, "article_id")
 
 
 def deal_sources(evidence: DataFrame) -> DataFrame:
@@ -37,7 +36,7 @@ def corroborating_sources(sources: DataFrame) -> DataFrame:
     """(deal_id, sources): publisher names, sorted. Takes the already distinct long form, so a
     list is bounded by the number of publishers."""
     return sources.groupBy("deal_id").agg(
-        F.array_sort(F.collect_list("source")).alias("sources")
+        F.sort_array(F.collect_list("source")).alias("sources")
     )
 
 

@@ -34,40 +34,39 @@ def coerce_deals(
     Unusable answers give no row. Money needs a value and a known currency together; a share
     above 100 percent is dropped; blank names become Undisclosed.
     """
-    v = F.col("_v")
-    currency = model_json.text_at(v, "$.currency")
+    fields = [
+        "acquirer", "target", "deal_type", "deal_value", "currency", "stake_pct", "category",
+        "region", "announced_date",
+    ]
+    currency = F.col("_a.currency")
     value = money.plausible_value(
-        money.clean_number(model_json.scalar_at(v, "$.deal_value")), currency, caps
+        money.clean_number(F.col("_a.deal_value")), currency, caps
     )
-    stake = money.clean_number(model_json.scalar_at(v, "$.stake_pct"))
+    stake = money.clean_number(F.col("_a.stake_pct"))
 
-    def named(path: str, default: str) -> Column:
-        return F.coalesce(
-            text.blank_to_null(model_json.text_at(v, path)), F.lit(default)
-        )
+    def named(field: str, default: str) -> Column:
+        return F.coalesce(text.blank_to_null(F.col(f"_a.{field}")), F.lit(default))
 
-    parsed = answers.withColumn("_v", model_json.parse_model_json(F.col("answer"))).filter(
-        "_v is not null"
+    answered = answers.select(
+        "id", "verdict_type", "confidence", "published_at", "feed_pos",
+        F.explode(model_json.parsed_fields(F.col("answer"), fields)).alias("_a"),
     )
-    return parsed.select(
+    return answered.select(
         F.col("id").alias("deal_id"),
         F.col("id").alias("cluster_id"),
-        named("$.acquirer", dims.UNDISCLOSED).alias("acquirer"),
-        named("$.target", dims.UNDISCLOSED).alias("target"),
+        named("acquirer", dims.UNDISCLOSED).alias("acquirer"),
+        named("target", dims.UNDISCLOSED).alias("target"),
         one_of(
-            model_json.text_at(v, "$.deal_type"), dims.DEAL_TYPES,
-            F.col("verdict_type"), F.lit(dims.DEAL_TYPES[0]),
+            F.col("_a.deal_type"), dims.DEAL_TYPES, F.col("verdict_type"),
+            F.lit(dims.DEAL_TYPES[0]),
         ).alias("deal_type"),
         value.alias("deal_value"),
         F.when(value.isNotNull(), currency).alias("currency"),
         F.when(stake <= 100, stake).alias("stake_pct"),
-        one_of(
-            model_json.text_at(v, "$.category"), categories, F.lit(dims.CATEGORIES[-1])
-        ).alias("category"),
-        named("$.region", dims.DEFAULT_REGION).alias("region"),
-        dates.iso_date_or(
-            model_json.text_at(v, "$.announced_date"), F.col("published_at")
-        ).alias("announced_date"),
+        one_of(F.col("_a.category"), categories, F.lit(dims.CATEGORIES[-1])).alias("category"),
+        named("region", dims.DEFAULT_REGION).alias("region"),
+        dates.iso_date_or(F.col("_a.announced_date"), F.col("published_at")).alias(
+            "announced_date"),
         F.col("confidence").alias("relevance_conf"),
         "feed_pos",
     )

@@ -49,7 +49,7 @@ def build_sections(items: DataFrame) -> DataFrame:
         F.col("confidence").alias("badge"),
     )
     return items.groupBy("category_pos", "category").agg(
-        F.array_sort(F.collect_list(item)).alias("items")
+        F.sort_array(F.collect_list(item)).alias("items")
     )
 
 

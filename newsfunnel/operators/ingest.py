@@ -64,7 +64,7 @@ def unify_source(df: DataFrame, aliases: DataFrame, source: str = "source") -> D
     `aliases` is (alias_key, unified), a fixed lookup list.
     """
     keyed = df.withColumn("_key", publisher_key(F.col(source)))
-    known = F.broadcast(aliases.withColumnRenamed("alias_key", "_key"))
+    known = aliases.withColumnRenamed("alias_key", "_key")
     return (
         keyed.join(known, "_key", "left")
         .withColumn(source, F.coalesce("unified", text.web_trim(F.col(source))))
@@ -76,13 +76,12 @@ def drop_blocked(
     df: DataFrame, blocklist: DataFrame, aliases: DataFrame, source: str = "source"
 ) -> DataFrame:
     """Drop items whose raw or unified publisher is on the blocklist."""
-    blocked = F.broadcast(blocklist)
     with_unified = unify_source(
         df.withColumn("_unified", F.col(source)), aliases, "_unified"
     ).withColumns({"_raw_key": publisher_key(F.col(source)), "_uni_key": F.lower("_unified")})
     for key in ("_raw_key", "_uni_key"):
         with_unified = with_unified.join(
-            blocked, with_unified[key] == blocked["blocked"], "left_anti"
+            blocklist, with_unified[key] == blocklist["blocked"], "left_anti"
         )
     return with_unified.drop("_unified", "_raw_key", "_uni_key")
 

@@ -17,141 +17,152 @@ from newsfunnel.operators.components import connected_components
 from newsfunnel.session import cut_lineage
 
 _DAY = 86_400_000_000
-# Two values within the tolerance are at most one bucket apart.
-_VALUE_BUCKET = -math.log(1 - dims.VALUE_TOLERANCE) * 1.0001
-
 
 def is_undisclosed(name: Column) -> Column:
     return F.lower(text.web_trim(name)).isin("", dims.UNDISCLOSED.lower())
 
 
-def values_equal(a: Column, b: Column, currency_a: Column, currency_b: Column) -> Column:
-    close = F.abs(a - b) <= F.lit(dims.VALUE_TOLERANCE) * F.greatest(a, b)
-    return F.coalesce(close & currency_a.eqNullSafe(currency_b), F.lit(False))
-
-
-def values_conflict(a: Column, b: Column, currency_a: Column, currency_b: Column) -> Column:
-    return a.isNotNull() & b.isNotNull() & ~values_equal(a, b, currency_a, currency_b)
+def values_close(a: Column, b: Column) -> Column:
+    """Two figures of one currency within the tolerance of the larger one."""
+    return F.abs(a - b) <= F.lit(dims.VALUE_TOLERANCE) * F.greatest(a, b)
 
 
 def _profiles(deals: DataFrame, generic: list[str]) -> DataFrame:
     named = ~is_undisclosed(F.col("acquirer"))
 
     def tokens(column: str) -> Column:
-        return F.array_sort(F.array_distinct(text.distinctive_tokens(F.col(column), generic)))
+        return F.array_distinct(text.distinctive_tokens(F.col(column), generic))
 
-    buyer = F.when(named, tokens("acquirer")).otherwise(F.array().cast("array<string>"))
     return deals.select(
         "deal_id", "deal_type", tokens("target").alias("target_tokens"),
-        buyer.alias("buyer_tokens"), named.alias("named"), "deal_value", "currency",
+        F.when(named, tokens("acquirer")).otherwise(F.array().cast("array<string>")).alias(
+            "buyer_tokens"),
+        named.alias("named"), "deal_value", F.coalesce("currency", F.lit("")).alias("currency"),
         "stake_pct", F.unix_micros("announced_date").alias("at"),
     ).filter((F.size("target_tokens") > 0) & F.col("at").isNotNull())
 
 
-_IDENTITY = [
-    "deal_type", "target_tokens", "buyer_tokens", "named", "deal_value", "currency", "stake_pct",
-]
+def _claims(profiles: DataFrame) -> DataFrame:
+    """The reasons for which a record can match, one row each: (deal_id, at, key, value, open,
+    figured).
 
+    Two records are the same deal exactly if they share a key, their dates and values are
+    close, and at least one of them is open:
+      buyer   type, target token, buyer token; open when the value is undisclosed
+      figure  the same plus the currency; always open, the values have to be close
+      value   type, target token, currency; open when the buyer is undisclosed
+      stake   type, target token, stake; open when the buyer is undisclosed
+    The claims by figure and value are `figured`; the others all carry the value 1.
+    """
 
-def _slot(span: int) -> Column:
-    return F.floor(F.col("at") / F.lit(span)).cast("bigint")
+    def key(kind: str, *parts: Column) -> Column:
+        return F.concat_ws("\u0001", F.lit(kind), "deal_type", *parts)
 
+    def claim(k: Column, value: Column | None, is_open: Column) -> Column:
+        return F.struct(
+            k.alias("key"), (F.lit(1.0) if value is None else value).alias("value"),
+            is_open.alias("open"), F.lit(value is not None).alias("figured"),
+        )
 
-def _nodes(profiles: DataFrame, span: int) -> DataFrame:
-    """Fold records that cannot be told apart: same identity, same date slot.
+    none = F.array().cast("array<struct<key:string,value:double,open:boolean,figured:boolean>>")
+    value, currency, stake = F.col("deal_value"), F.col("currency"), F.col("stake_pct")
+    unnamed = ~F.col("named")
+
+    def of_token(t: Column) -> Column:
+        buyer = F.transform("buyer_tokens", lambda b: claim(
+            key("buyer", t, b), None, value.isNull()))
+        figure = F.transform("buyer_tokens", lambda b: claim(
+            key("figure", t, b, currency), value, F.lit(True)))
+        by_value = F.array(claim(key("value", t, currency), value, unnamed))
+        by_stake = F.array(claim(key("stake", t, stake.cast("string")), None, unnamed))
+        return F.concat(
+            buyer,
+            F.when(value > 0, F.concat(figure, by_value)).otherwise(none),
+            F.when(stake.isNotNull(), by_stake).otherwise(none),
+        )
 
-    A slot is as wide as the date tolerance, so its records are within it of each other.
-    Identities that do not match themselves (a buyer without distinctive token, or nothing to
-    corroborate with) are folded only at the very same instant.
-    """
-    self_match = (F.col("named") & (F.size("buyer_tokens") > 0)) | (
-        ~F.col("named") & (F.col("deal_value").isNotNull() | F.col("stake_pct").isNotNull())
-    )
-    keyed = profiles.withColumns({"self_match": self_match, "slot": _slot(span)}).withColumn(
-        "instant", F.when(~F.col("self_match"), F.col("at"))
-    )
-    return keyed.groupBy(*_IDENTITY, "self_match", "slot", "instant").agg(
-        F.min("deal_id").alias("node"), F.min("at").alias("lo"), F.max("at").alias("hi"),
-    )
+    claims = F.flatten(F.transform("target_tokens", of_token))
+    return profiles.select("deal_id", "at", F.inline(claims))
 
 
-def _keys(nodes: DataFrame, kind: str) -> DataFrame:
-    """Join keys under which two nodes that could match must meet."""
-    token = F.explode("target_tokens").alias("token")
-    base = nodes.select("*", token)
-    value_slot = F.floor(F.log("deal_value") / F.lit(_VALUE_BUCKET)).cast("bigint")
-    if kind == "buyer":
-        base = base.filter("named").select("*", F.explode("buyer_tokens").alias("second"))
-        return base.withColumn("step", F.lit(0).cast("bigint"))
-    if kind == "value":
-        return base.filter("deal_value > 0").withColumns(
-            {"second": F.coalesce("currency", F.lit("")), "step": value_slot}
-        )
-    return base.filter("stake_pct is not null").withColumns(
-        {"second": F.col("stake_pct").cast("string"), "step": F.lit(0).cast("bigint")}
-    )
+def _hubs(claims: DataFrame) -> DataFrame:
+    """Open records that stand for their cell in it and in the eight cells around it.
 
+    A cell is a key with a date slot and a value step, each as wide as the tolerance, so
+    inside a cell everything is close. One open record links the cell. Across one border the
+    open record nearest to the border decides for all: the latest, the earliest, the largest or
+    the smallest. Across a corner both date and value matter, so every distinct value of the
+    cell stands for itself there, with its latest or earliest record.
+    """
+    cell = ["key", "slot", "step"]
 
-def _node_links(nodes: DataFrame, span: int) -> DataFrame:
-    """Verified links (a, b) between different nodes."""
-    found = None
-    for kind in ("buyer", "value", "stake"):
-        keyed = _keys(nodes, kind)
-        left = keyed if kind == "buyer" else keyed.filter(~F.col("named"))
-        near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        right = keyed.withColumn("slot", F.explode(F.transform(near, lambda d: F.col("slot") + d)))
-        if kind == "value":
-            right = right.withColumn(
-                "step", F.explode(F.transform(near, lambda d: F.col("step") + d))
-            )
-        on = ["deal_type", "token", "second", "slot", "step"]
-        attrs = ["node", "lo", "hi", "deal_value", "currency"]
-        left = left.select(*on, *[F.col(c).alias(f"{c}_l") for c in attrs])
-        right = right.select(*on, *[F.col(c).alias(f"{c}_r") for c in attrs])
-        gap = F.greatest(F.col("lo_l") - F.col("hi_r"), F.col("lo_r") - F.col("hi_l"))
-        money = [F.col(c) for c in ("deal_value_l", "deal_value_r", "currency_l", "currency_r")]
-        holds = {
-            "buyer": (F.col("node_l") < F.col("node_r")) & ~values_conflict(*money),
-            "value": (F.col("node_l") != F.col("node_r")) & values_equal(*money),
-            "stake": F.col("node_l") != F.col("node_r"),
-        }[kind]
-        links = left.join(right, on).filter((gap <= span) & holds).select(
-            F.least("node_l", "node_r").alias("a"), F.greatest("node_l", "node_r").alias("b")
+    def at(ds: int, dv: int, record: str) -> Column:
+        return F.struct(
+            (F.col("slot") + ds).alias("slot"), (F.col("step") + dv).alias("step"),
+            F.col(f"{record}.deal_id").alias("hub"), F.col(f"{record}.at").alias("hub_at"),
+            F.col(f"{record}.value").alias("hub_value"),
         )
-        found = links if found is None else found.unionByName(links)
-    return found.distinct()
+
+    def pick(fn, by: str, name: str) -> Column:
+        return fn(F.struct("deal_id", "at", "value"), F.struct(by, "deal_id")).alias(name)
+
+    opened = claims.filter("open")
+    sides = opened.groupBy(*cell).agg(
+        pick(F.max_by, "at", "late"), pick(F.min_by, "at", "early"),
+        pick(F.max_by, "value", "top"), pick(F.min_by, "value", "low"),
+    ).select("key", F.inline(F.array(
+        at(0, 0, "early"), at(1, 0, "late"), at(-1, 0, "early"), at(0, 1, "top"),
+        at(0, -1, "low"),
+    )))
+    corners = opened.filter("figured").groupBy(*cell, "value").agg(
+        F.max_by(F.struct("deal_id", "at", "value"), F.struct("at", "deal_id")).alias("late"),
+        F.min_by(F.struct("deal_id", "at", "value"), F.struct("at", "deal_id")).alias("early"),
+    ).select("key", F.inline(F.array(
+        at(1, 1, "late"), at(1, -1, "late"), at(-1, 1, "early"), at(-1, -1, "early"),
+    )))
+    return sides.unionByName(corners)
 
 
 def same_deal_links(
     deals: DataFrame, tolerance_days: int = dims.DATE_TOLERANCE_DAYS,
     generic: list[str] = dims.GENERIC_TOKENS,
 ) -> DataFrame:
-    """Edges (a, b) whose connected components are the groups of same deals.
+    """Edges (a, b), all of them same-deal pairs, whose connected components are the groups of
+    same deals.
 
-    Indistinguishable records cost one edge each, to the smallest id of their node. Nodes meet
-    through keys that already imply most of the rule (type, target token, date slot, and buyer
-    token, value or stake), never through the type or a token alone.
+    Records meet the hubs of their cell and its neighbours, never each other, so the number of
+    edges grows with the records even if a third of them share one key.
     """
     span = tolerance_days * _DAY
-    profiles = _profiles(deals, generic)
-    nodes = cut_lineage(_nodes(profiles, span))
-    links = cut_lineage(_node_links(nodes, span))
-    linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    # Records of a node hang together if the identity matches itself or has a partner.
-    solid = nodes.filter("self_match").select("node").union(linked).distinct()
-    slotted = profiles.withColumn("slot", _slot(span)).alias("p")
-    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"n.{c}")) for c in _IDENTITY]
-    here = (F.col("p.slot") == F.col("n.slot")) & F.coalesce(
-        F.col("p.at") == F.col("n.instant"), F.lit(True)
+    width = -math.log(1 - dims.VALUE_TOLERANCE) * (1 - 1e-12)
+    claims = cut_lineage(
+        _claims(_profiles(deals, generic))
+        .withColumn("slot", F.floor(F.col("at") / F.lit(span)).cast("bigint"))
+        .withColumn("step", F.floor(F.log("value") / F.lit(width)).cast("bigint"))
+    )
+    return (
+        claims.join(_hubs(claims), ["key", "slot", "step"])
+        .filter(
+            (F.col("hub") != F.col("deal_id"))
+            & (F.abs(F.col("at") - F.col("hub_at")) <= span)
+            & values_close(F.col("value"), F.col("hub_value"))
+        )
+        .select(F.least("hub", "deal_id").alias("a"), F.greatest("hub", "deal_id").alias("b"))
+        .distinct()
     )
-    for condition in same:
-        here = here & condition
-    stars = (
-        slotted.join(nodes.join(solid, "node", "left_semi").alias("n"), here)
-        .filter(F.col("p.deal_id") != F.col("n.node"))
-        .select(F.col("n.node").alias("a"), F.col("p.deal_id").alias("b"))
+
+
+def members_of(keyed: DataFrame, membership: DataFrame, own: str) -> DataFrame:
+    """`keyed` (with cluster_id) joined to its cluster's members as article_id; a row whose
+    cluster is unknown gets its `own` id.
+
+    Written as an inner join plus the rest, not as an outer join: a crowded cluster sits on the
+    membership side, and only an inner join lets adaptive execution split that side.
+    """
+    known = membership.select("cluster_id").distinct()
+    return membership.join(keyed, "cluster_id").unionByName(
+        keyed.join(known, "cluster_id", "left_anti").withColumn("article_id", F.col(own))
     )
-    return links.unionByName(stars)
 
 
 def merge_deals(
@@ -209,8 +220,7 @@ def merge_deals(
     moves = sized.select("deal_id", "cluster_id", "component").join(
         survivors, "component", "left"
     ).select("deal_id", "cluster_id", F.coalesce("into", "cluster_id").alias("into"))
-    merged_membership = moves.join(membership, "cluster_id", "left").select(
-        F.coalesce("article_id", "deal_id").alias("article_id"),
-        F.col("into").alias("cluster_id"),
+    merged_membership = members_of(moves, membership, "deal_id").select(
+        "article_id", F.col("into").alias("cluster_id")
     ).distinct()
     return alone.unionByName(folded), merged_membership

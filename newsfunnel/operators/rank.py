@@ -38,7 +38,7 @@ def group_by_category(selected: DataFrame, categories: DataFrame) -> DataFrame:
     """Selected deals with category_pos and item_pos: canonical category order, rank order
     inside. Categories without deals do not appear."""
     inside = Window.partitionBy("category").orderBy("rank_pos")
-    return selected.join(F.broadcast(categories), "category").withColumn(
+    return selected.join(categories, "category").withColumn(
         "item_pos", F.row_number().over(inside)
     )
 

@@ -15,6 +15,8 @@ def build_session(master: str = "local[*]", app: str = "newsfunnel", **conf) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
     )
@@ -44,6 +46,14 @@ def run_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a source that has fewer splits than the session has cores (one small
+    file, say) before heavy work per row. Sources with enough splits stay as they are, so on
+    large data no shuffle is added."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise `df` in reliable storage, so lost executors cost no recomputation and a
     later stage sees exactly the rows an earlier one saw."""

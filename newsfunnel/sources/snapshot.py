@@ -89,7 +89,7 @@ def snapshot_row(
 
     def listed(df: DataFrame, name: str, order: str) -> DataFrame:
         cols = [order, *[c for c in df.columns if c != order]]
-        return df.agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+        return df.agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
 
     parts = [
         funnel.select(F.struct(*funnel.columns).alias("funnel")),
