@@ -68,6 +68,7 @@ def feed_failures(spark, sf):
     feed = F.concat(F.lit("u"), F.col("user_id").cast("string"))
     scan = V.table(spark, sf, "events").select(
         feed.alias("feed"),
+        model_json.text_at(model_json.parse_model_json(payload), "$").alias("title"),
         F.when(model_json.parse_model_json(payload).isNull(), payload).alias("_corrupt_record"))
     expected = V.table(spark, sf, "customer").select(
         F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("feed"))

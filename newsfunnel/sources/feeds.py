@@ -52,18 +52,23 @@ def stream_feeds(spark: SparkSession, path: str) -> DataFrame:
     return shape_items(raw)
 
 
+def is_broken():
+    """An item nothing could be read from."""
+    return F.col("title").isNull() & F.col("_corrupt_record").isNotNull()
+
+
 def good_items(scan: DataFrame) -> DataFrame:
-    return scan.filter(F.col("_corrupt_record").isNull())
+    return scan.filter(~is_broken())
 
 
 def feed_failures(scan: DataFrame, expected: DataFrame) -> DataFrame:
     """(feed, error): expected feeds that were broken or brought nothing.
 
-    `scan` needs feed and _corrupt_record, `expected` needs feed. Both kinds of failure are
+    `scan` needs feed, title and _corrupt_record, `expected` needs feed. Both kinds of failure are
     reported and neither stops the run.
     """
     per_feed = scan.groupBy("feed").agg(
-        F.count(F.lit(1)).alias("items"), F.count("_corrupt_record").alias("broken")
+        F.count(F.lit(1)).alias("items"), F.count_if(is_broken()).alias("broken")
     )
     seen = expected.select("feed").distinct().join(per_feed, "feed", "full")
     error = F.when(F.col("items").isNull(), F.lit("no items")).when(
