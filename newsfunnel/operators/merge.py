@@ -176,7 +176,7 @@ def merge_deals(
     clusters. `merged` counts the records folded away.
     """
     component = connected_components(links).withColumnRenamed("node", "deal_id")
-    sized = (
+    sized = cut_lineage(
         deals.join(clusters.select("cluster_id", "size"), "cluster_id", "left")
         .withColumn("size", F.coalesce("size", F.lit(1)).cast("bigint"))
         .join(component, "deal_id", "left")
@@ -193,14 +193,14 @@ def merge_deals(
     def first_having(value: Column, present: Column) -> Column:
         return F.min_by(value, F.when(present, arrival))
 
-    groups = sized.filter("component is not null").groupBy("component").agg(
+    groups = cut_lineage(sized.filter("component is not null").groupBy("component").agg(
         F.min_by(record, preference).alias("s"),
         first_having(
             F.struct("deal_value", "currency"), F.col("deal_value").isNotNull()).alias("money"),
         first_having(F.col("acquirer"), named).alias("buyer"),
         first_having(F.col("stake_pct"), F.col("stake_pct").isNotNull()).alias("stake"),
         (F.count(F.lit(1)) - 1).alias("merged"),
-    )
+    ))
     no_value = F.col("s.deal_value").isNull()
     enriched = {
         "deal_value": F.coalesce("s.deal_value", "money.deal_value"),
