@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsfunnel.functions import text, urls
 from newsfunnel.operators import credibility, rank
-from newsfunnel.session import shared_dir, spread
+from newsfunnel.session import shared_dir, ship_package, spread
 
 CATEGORIES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 NOW = dt.datetime(2001, 8, 2, tzinfo=dt.timezone.utc)
@@ -26,6 +26,7 @@ PATTERNS = {"deal": r"\bthe\b", "signal": r"\bof\b", "noise": r"\bwith\b"}
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     shared_dir(spark)
+    ship_package(spark, "checks")  # stand-in models run in the workers
     df = spark.read.parquet(f"{sf}/{name}.parquet")
     for field in df.schema.fields:  # stored without a zone; they are UTC
         if field.dataType.typeName() == "timestamp_ntz":

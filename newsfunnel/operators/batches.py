@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from newsfunnel import dims
 from newsfunnel.functions import model_json
 from newsfunnel.operators.numbering import with_ordinal
+from newsfunnel.session import map_batches
 
 
 class FatalScoringError(Exception):
@@ -80,7 +81,7 @@ def score_batches(
                 "response": pd.Series([call(i) for i in frame["items"]], dtype=object),
             })
 
-    return batches.mapInPandas(score, "batch bigint, response string")
+    return map_batches(batches, score, "batch bigint, response string")
 
 
 def match_by_echo(packed: DataFrame, responses: DataFrame, list_path: str = "$.v") -> DataFrame:
@@ -137,4 +138,4 @@ def embed_column(
             yield pd.DataFrame({"id": frame["id"], "embedding": vectors})
 
     plain = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    return plain.mapInPandas(embed, "id string, embedding array<float>")
+    return map_batches(plain, embed, "id string, embedding array<float>")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import FloatType
 
 from newsfunnel import dims
-from newsfunnel.session import cut_lineage
+from newsfunnel.session import cut_lineage, map_batches
 
 TILE_ROWS = 256
 MAX_CELLS = 256
@@ -85,8 +85,8 @@ def _place(reps: DataFrame, threshold: float, n_cells: int) -> DataFrame:
             )
 
     vec_type = reps.schema["vec"].dataType.simpleString()
-    placed = reps.mapInPandas(
-        place,
+    placed = map_batches(
+        reps, place,
         f"id string, vec {vec_type}, weight bigint, home int, ball boolean, guests array<int>",
     )
     own = F.struct(
@@ -145,8 +145,8 @@ def _tiles(placed: DataFrame, n_rows: int, n_cells: int) -> DataFrame:
     spread = placed.repartition(
         "cell", F.pmod(F.xxhash64("id"), F.lit(salts))
     ).sortWithinPartitions("cell", "role")
-    return cut_lineage(spread.mapInPandas(
-        pack,
+    return cut_lineage(map_batches(
+        spread, pack,
         "tile string, cell int, role int, ids array<string>, weights array<bigint>, mat binary",
     ))
 
@@ -188,7 +188,7 @@ def _products(pairs: DataFrame, dtype, width: int, kernel: Callable, schema: str
                 if len(out):
                     yield out
 
-    return pairs.mapInPandas(run, schema)
+    return map_batches(pairs, run, schema)
 
 
 class _Prepared:

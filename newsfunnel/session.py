@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +50,27 @@ def run_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def ship_package(spark: SparkSession, name: str = "newsfunnel") -> None:
+    """Make a package importable in the Python workers, wherever the driver was started."""
+    context = spark.sparkContext
+    shipped = context.__dict__.setdefault("_shipped_packages", set())
+    if name in shipped:
+        return
+    source = os.path.dirname(os.path.abspath(sys.modules[name].__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="ship-"), name), "zip",
+        root_dir=os.path.dirname(source), base_dir=os.path.basename(source),
+    )
+    context.addPyFile(archive)
+    shipped.add(name)
+
+
+def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """`mapInPandas` with this package available to the workers."""
+    ship_package(df.sparkSession)
+    return df.mapInPandas(fn, schema)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on a source that has fewer splits than the session has cores (one small
     file, say) before heavy work per row. Sources with enough splits stay as they are, so on
