@@ -387,23 +387,30 @@ def digest_end_to_end(spark, sf):
                        "primary_source_url", "badge")
 
 
-@query("digest_funnel", S.with_views("articles_v", body="""
-    SELECT count(*) AS ingested FROM articles_v"""))
-def digest_funnel(spark, sf):
-    return whole_run(spark, sf).tables["funnel"].select("ingested")
+@query("digest_articles", S.with_views("articles_v", body=f"""
+    SELECT id, any_value({S.canonical_url('url')}) AS url, min(feed_pos) AS feed_pos,
+      any_value(CASE WHEN trim(title) = '' THEN NULL ELSE title END) AS title
+    FROM articles_v GROUP BY id"""))
+def digest_articles(spark, sf):
+    """The articles of a whole run: landed, scanned, accepted, cleaned and de-duplicated."""
+    articles = whole_run(spark, sf).tables["articles"]
+    origin = V.articles_v(spark, sf).groupBy("id").agg(F.min("feed_pos").alias("feed_pos"))
+    return articles.select("id", "url", "title").join(origin, "id")
 
 
 @query("export_json_roundtrip")
 def export_json_roundtrip(spark, sf):
-    """The nested snapshot of a whole run, written as JSON and read back."""
-    row = digest_run.snapshot_export(whole_run(spark, sf))
+    """The snapshot of a whole run, written as JSON and read back: deals with their evidence."""
+    parts = digest_run.snapshot_export(whole_run(spark, sf))
     path = exports.export_path(run_dir(spark, "json"), F.lit(V.NOW), spark)
-    exports.write_json(row, path)
-    back = spark.read.schema(row.schema).json(path)
-    return back.select(
-        "title", "period", "methodology", F.size("deals").alias("deals"),
-        F.size("sections").alias("sections"), F.size("clusters").alias("clusters"),
-        F.size("articles").alias("articles"))
+    exports.write_json(parts, path)
+    back = {n: spark.read.schema(p.schema).json(f"{path}/{n}") for n, p in parts.items()}
+    deals = back["digest"].select("title", F.explode("deals").alias("d")).select(
+        "title", "d.rank_pos", "d.deal_id", "d.cluster_id", "d.confidence")
+    members = back["clusters"].select(
+        "cluster_id", "size", F.explode("member_ids").alias("id"))
+    return deals.join(members, "cluster_id").join(
+        back["articles"].select("id", "url"), "id", "left")
 
 
 @query("refresh_run")

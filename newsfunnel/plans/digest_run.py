@@ -177,10 +177,14 @@ def run_digest(spark: SparkSession, items: DataFrame, opts: DigestOptions) -> Di
     )
 
 
-def snapshot_export(run: DigestRun) -> DataFrame:
-    """The run's nested one-row snapshot."""
+def snapshot_export(run: DigestRun) -> dict[str, DataFrame]:
+    """The run's JSON export: the nested digest (one row), its clusters and its articles."""
     t = run.tables
-    nested = clusters.nested_members(t["membership"], t["clusters"])
-    return snapshot.snapshot_row(
-        t["header"], t["funnel"], t["deals"], t["sections"], nested, t["articles"]
-    )
+    members, articles = snapshot.evidence(t["deals"], t["membership"], t["articles"])
+    sizes = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size")).withColumn(
+        "canonical_id", F.col("cluster_id"))
+    return {
+        "digest": snapshot.snapshot_row(t["header"], t["funnel"], t["deals"], t["sections"]),
+        "clusters": clusters.nested_members(members, sizes),
+        "articles": articles,
+    }

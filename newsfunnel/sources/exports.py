@@ -29,6 +29,7 @@ def export_path(base: str, generated_at: Column, spark: SparkSession, prefix: st
     return f"{base.rstrip('/')}/{prefix}-{day}"
 
 
-def write_json(snapshot_row: DataFrame, path: str) -> None:
-    """The nested snapshot, one JSON document."""
-    snapshot_row.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
+def write_json(parts: dict[str, DataFrame], path: str) -> None:
+    """The snapshot as JSON documents, one folder per part. Absent facts stay absent."""
+    for name, part in parts.items():
+        part.write.mode("overwrite").option("ignoreNullFields", "true").json(f"{path}/{name}")

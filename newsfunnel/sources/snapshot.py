@@ -74,31 +74,33 @@ def load_snapshot(spark: SparkSession, live: str | None, seed: str) -> LoadedSna
 
 
 def snapshot_row(
-    header: DataFrame, funnel: DataFrame, deals: DataFrame, sections: DataFrame,
-    clusters: DataFrame, articles: DataFrame,
+    header: DataFrame, funnel: DataFrame, deals: DataFrame, sections: DataFrame
 ) -> DataFrame:
-    """One nested row for the JSON export.
+    """The digest as one nested row: header, funnel, selected deals in rank order, sections.
 
-    Deals and sections hold the selected top-n. `clusters` and `articles` are pruned here to
-    what those deals rest on; the table store keeps all of them.
+    All of it is bounded by the number of selected deals. The evidence is not (one story may
+    have very many articles) and is exported as rows beside it.
     """
-    wanted = deals.select("cluster_id").distinct()
-    kept = clusters.join(F.broadcast(wanted), "cluster_id", "left_semi")  # top-n ids
-    members = kept.select(F.explode("member_ids").alias("id")).distinct()
-    evidence = articles.join(members, "id", "left_semi")
 
     def listed(df: DataFrame, name: str, order: str) -> DataFrame:
         cols = [order, *[c for c in df.columns if c != order]]
         return df.agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
 
-    parts = [
+    row = header.withColumn("_one", F.lit(1))
+    for part in (
         funnel.select(F.struct(*funnel.columns).alias("funnel")),
         listed(deals, "deals", "rank_pos"),
         listed(sections, "sections", "category_pos"),
-        listed(kept, "clusters", "cluster_id"),
-        listed(evidence, "articles", "id"),
-    ]
-    row = header.withColumn("_one", F.lit(1))
-    for part in parts:  # each side is exactly one row
+    ):  # each side is exactly one row
         row = row.join(F.broadcast(part.withColumn("_one", F.lit(1))), "_one")
     return row.drop("_one")
+
+
+def evidence(
+    deals: DataFrame, membership: DataFrame, articles: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """(membership, articles) pruned to what the selected deals rest on."""
+    wanted = F.broadcast(deals.select("cluster_id").distinct())  # one id per selected deal
+    kept = membership.join(wanted, "cluster_id", "left_semi")
+    ids = kept.select(F.col("article_id").alias("id")).distinct()
+    return kept, articles.join(ids, "id", "left_semi")
