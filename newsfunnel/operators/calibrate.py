@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from newsfunnel import dims
+from newsfunnel.functions import text
 from newsfunnel.operators import cosine
 
 
@@ -40,3 +41,12 @@ def threshold_sweep(
     return cosine.pair_counts(vectors, thresholds, **columns).withColumn(
         "is_current", F.col("threshold") == current
     )
+
+
+def with_title_ratio(pairs: DataFrame, articles: DataFrame) -> DataFrame:
+    """Scored pairs (a, b, sim) with both titles and their token-sort ratio, for inspection."""
+    left = articles.select(F.col("id").alias("a"), F.col("title").alias("title_a"))
+    right = articles.select(F.col("id").alias("b"), F.col("title").alias("title_b"))
+    return pairs.join(left, "a").join(right, "b").withColumn(
+        "ratio", text.token_sort_ratio(F.col("title_a"), F.col("title_b"))
+    )
