@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from newsfunnel.llm import op1_ngram_join as op1, op2_decontaminate as op2
+from newsfunnel.llm.op9_substring import op9_substring
 from newsfunnel.llm.op10_packing import op10_packing
 
-_QUERIES = [op10_packing]
-_ORACLES: dict[str, str] = {}
+_QUERIES = [op1.op1_ngram_join, op2.op2_decontaminate, op9_substring, op10_packing]
+_ORACLES: dict[str, str] = {"op1_ngram_join": op1.SQL, "op2_decontaminate": op2.SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
