@@ -28,7 +28,7 @@ WINDOW = 10
 MAX_CHARS = 3_000_000
 
 _PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = re.compile(_PATTERN)
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # the same before lower-casing
 _NORMAL = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32
     for c in range(256)
