@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from newsfunnel.llm import op1_ngram_join as op1, op2_decontaminate as op2, op3_url_filter as op3
+from newsfunnel.llm.op5_quality_rules import op5_quality_rules
 from newsfunnel.llm.op6_language import op6_language
 from newsfunnel.llm.op9_substring import op9_substring
 from newsfunnel.llm.op10_packing import op10_packing
 
-_QUERIES = [op1.op1_ngram_join, op2.op2_decontaminate, op3.op3_url_filter, op6_language, op9_substring, op10_packing]
+_QUERIES = [op1.op1_ngram_join, op2.op2_decontaminate, op3.op3_url_filter, op5_quality_rules, op6_language, op9_substring, op10_packing]
 _ORACLES: dict[str, str] = {
     "op1_ngram_join": op1.SQL, "op2_decontaminate": op2.SQL, "op3_url_filter": op3.SQL,
 }
