@@ -34,7 +34,8 @@ from newsfunnel.llm.shingles import (
 from newsfunnel.llm.textkit import list_array, map_arrow, signed, stage, table
 from newsfunnel.operators.components import connected_components
 
-HEAVY = 64
+HEAVY = 64  # groups with a shingle beyond which it leaves the prefixes
+BROADCAST_IDS = 100_000  # ids of texts to look up that may be broadcast (0.8 MB)
 
 _SETS = pa.schema([
     ("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()),
@@ -79,47 +80,46 @@ class _Join:
         self.k, self.percent, self.heavy = k, percent, heavy
         self.docs = docs
         self.sets = stage(
-            map_arrow(docs, lambda it: _sets(it, k, percent), _SETS_DDL), "sets")
-        self.real = self.sets.filter("n > 0 and doc_id is not null")
+            map_arrow(docs, lambda it: _sets(it, k, percent), _SETS_DDL).withColumns({
+                "g1": F.xxhash64("sample"), "g2": F.xxhash64(F.lit(7), "sample"),
+                "n_sample": F.size("sample")}), "sets")
         same = ["n", "h1", "h2"]
-        first = self.real.groupBy(*same).agg(F.min("doc_id").alias("sid"))
-        self.nodes = stage(
-            self.real.select("doc_id", *same).join(first, same).select("doc_id", "sid", "n"), "nodes")
-        # One row per distinct set, with the sample that names its group.
-        kept = self.real.join(first, same).filter("doc_id = sid").dropDuplicates(["sid", *same])
-        prefix = F.xxhash64("sample")
+        real = self.sets.drop("sample").filter("n > 0 and doc_id is not null")
+        first = real.groupBy(*same).agg(F.min("doc_id").alias("sid"))
+        placed = stage(real.join(first, same), "nodes")
+        self.nodes = placed.select("doc_id", "sid", "n")
+        # One row per distinct set; sets with equal sizes and prefixes form a group.
+        distinct = placed.filter("doc_id = sid").dropDuplicates(["sid", *same])
+        key = ["n", "g1", "g2"]
+        groups = distinct.groupBy(*key).agg(F.min("sid").alias("gid"), F.count(F.lit(1)).alias("size"))
         self.members = stage(
-            kept.select("sid", "n", "n_cover", "sample", prefix.alias("g1"),
-                        F.xxhash64(F.lit(7), "sample").alias("g2")), "members")
+            distinct.join(groups, key).select("sid", "gid", "n", "n_cover", "n_sample", "size"), "groups")
 
     def bucket_rows(self) -> DataFrame:
         """(tok, sid): what each distinct set puts into the prefix join."""
-        key = ["n", "g1", "g2"]
-        groups = self.members.groupBy(*key).agg(
-            F.min("sid").alias("gid"), F.count(F.lit(1)).alias("size"))
-        member = stage(
-            self.members.drop("sample").join(groups, key).select("sid", "gid", "n", "n_cover", "size"), "groups")
-        leaders = member.filter("sid = gid").select("sid", "n").distinct()
+        leaders = self.members.filter("sid = gid").select(F.col("sid").alias("doc_id"), "n").distinct()
         tokens = (
-            self.members.join(leaders, ["sid", "n"], "left_semi")
-            .select("sid", "n_cover", F.posexplode("sample").alias("pos", "tok"))
-            .select("tok", F.col("sid").alias("gid"), (F.col("pos") < F.col("n_cover")).alias("cover"))
+            self.sets.select("doc_id", "n", "n_cover", "sample").join(leaders, ["doc_id", "n"], "left_semi")
+            .select(F.col("doc_id").alias("gid"), "n_cover", F.posexplode("sample").alias("pos", "tok"))
+            .select("tok", "gid", (F.col("pos") < F.col("n_cover")).alias("cover"))
         )
         counts = stage(tokens.groupBy("tok").count().filter("count > 1"), "counts")
         shared = stage(tokens.join(counts, "tok"), "shared")
+        # What a group shares with any other, for the bound in `verified`: at most its sample.
+        self.samples = stage(shared.groupBy("gid").agg(F.collect_set("tok").alias("toks")), "samples")
         # Sets whose prefix lost too much to frequent shingles.
         lost = (
             shared.filter(f"cover and count > {self.heavy}").groupBy("gid")
             .agg(F.count(F.lit(1)).alias("lost"))
         )
         p = F.col("n") - F.ceil(F.lit(self.percent) * F.col("n") / 100 - 1e-9) + 1
-        bare = member.join(lost, "gid").filter(F.col("n_cover") - F.col("lost") < p)
+        bare = self.members.join(lost, "gid").filter(F.col("n_cover") - F.col("lost") < p)
         light = (
-            shared.filter(f"count <= {self.heavy}").join(member.select("gid", "sid"), "gid")
+            shared.filter(f"count <= {self.heavy}").join(self.members.select("gid", "sid"), "gid")
             .select("tok", "sid")
         )
         # Members of one group have the same prefix: the group is a bucket too.
-        grouped = member.filter("size > 1").select(F.xxhash64(F.lit("group"), "gid", "n").alias("tok"), "sid")
+        grouped = self.members.filter("size > 1").select(F.xxhash64(F.lit("group"), "gid", "n").alias("tok"), "sid")
         return light.unionByName(grouped).unionByName(self._rarest(bare.select("sid").distinct()))
 
     def _rarest(self, sids: DataFrame) -> DataFrame:
@@ -141,27 +141,32 @@ class _Join:
 
     def whole_sets(self, sids: DataFrame) -> DataFrame:
         """(sid, items) for the given nodes, from their texts."""
-        text = self.docs.join(sids.select(F.col("sid").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        wanted = stage(sids.select(F.col("sid").alias("doc_id")).distinct(), "wanted")
+        if wanted.count() <= BROADCAST_IDS:
+            wanted = F.broadcast(wanted)  # else the texts are shuffled once
+        text = self.docs.join(wanted, "doc_id", "left_semi")
         k = self.k
         return stage(map_arrow(text, lambda it: _whole_sets(it, k), "sid long, items array<long>"), "whole")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the distinct (a, b) that are similar."""
-        side = self.members.select("sid", "n", "sample")
-        a = side.toDF("a", "n_a", "s_a")
-        b = side.toDF("b", "n_b", "s_b")
-        sized = self.members.select("sid", "n")
-        pairs = (
-            pairs.join(sized.toDF("a", "n_a"), "a").join(sized.toDF("b", "n_b"), "b")
-            .filter(f"100 * least(n_a, n_b) >= {self.percent} * greatest(n_a, n_b)").select("a", "b").distinct()
+        side = self.members.select("sid", "gid", "n", "n_sample")
+        sized = (
+            pairs.join(side.toDF("a", "g_a", "n_a", "m_a"), "a").join(side.toDF("b", "g_b", "n_b", "m_b"), "b")
+            .filter(f"100 * least(n_a, n_b) >= {self.percent} * greatest(n_a, n_b)")
         )
-        need = _alpha(F.col("n_a"), F.col("n_b"), self.percent)
         # Of the larger set's sample, at most n - need members can be missing from the other set.
-        sample = F.when(F.col("n_a") >= F.col("n_b"), F.size("s_a")).otherwise(F.size("s_b"))
-        hopeful = stage(
-            pairs.join(a, "a").join(b, "b")
-            .filter(F.size(F.array_intersect("s_a", "s_b")) >= sample - F.greatest("n_a", "n_b") + need)
-            .select("a", "b").distinct(), "hopeful")
+        need = _alpha(F.col("n_a"), F.col("n_b"), self.percent)
+        sample = F.when(F.col("n_a") >= F.col("n_b"), F.col("m_a")).otherwise(F.col("m_b"))
+        bound = sample - F.greatest("n_a", "n_b") + need
+        toks = self.samples
+        apart = (
+            sized.filter("g_a != g_b").withColumn("bound", bound)
+            .join(toks.toDF("g_a", "t_a"), "g_a").join(toks.toDF("g_b", "t_b"), "g_b")
+            .filter(F.size(F.array_intersect("t_a", "t_b")) >= F.col("bound"))
+        )
+        free = sized.withColumn("bound", bound).filter("g_a = g_b or bound <= 0")
+        hopeful = stage(apart.select("a", "b").union(free.select("a", "b")).distinct(), "hopeful")
         ends = hopeful.select(F.col("a").alias("sid")).union(hopeful.select("b"))
         whole = self.whole_sets(ends)
         shared = F.size(F.array_intersect("i_a", "i_b"))

@@ -10,10 +10,13 @@ from newsfunnel.llm import op1_ngram_join as op1, op2_decontaminate as op2, op3_
 from newsfunnel.llm.op4_quality_classifier import op4_quality_classifier
 from newsfunnel.llm.op5_quality_rules import op5_quality_rules
 from newsfunnel.llm.op6_language import op6_language
+from newsfunnel.llm.op7_warc import op7_warc
+from newsfunnel.llm.op8_html_text import op8_html_text
 from newsfunnel.llm.op9_substring import op9_substring
 from newsfunnel.llm.op10_packing import op10_packing
 
-_QUERIES = [op1.op1_ngram_join, op2.op2_decontaminate, op3.op3_url_filter, op4_quality_classifier, op5_quality_rules, op6_language, op9_substring, op10_packing]
+_QUERIES = [op1.op1_ngram_join, op2.op2_decontaminate, op3.op3_url_filter, op4_quality_classifier, op5_quality_rules, op6_language, op7_warc, op8_html_text,
+            op9_substring, op10_packing]
 _ORACLES: dict[str, str] = {
     "op1_ngram_join": op1.SQL, "op2_decontaminate": op2.SQL, "op3_url_filter": op3.SQL,
 }
