@@ -36,11 +36,8 @@ _NORMAL = bytes(
 _ITEMS = pa.list_(pa.string())
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _RUNS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-_SCHEMA = pa.schema([
-    ("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("runs", _RUNS),
-    ("items", _ITEMS), ("spans", _SPANS),
-])
-_DDL = ("doc_id long, text string, n_words long, runs array<struct<first:long,last:long>>, "
+_FOUND = [("n_words", pa.int64()), ("runs", _RUNS), ("items", _ITEMS), ("spans", _SPANS)]
+_DDL = ("text string, n_words long, runs array<struct<first:long,last:long>>, "
         "items array<string>, spans array<struct<start:long,end:long>>")
 
 
@@ -92,8 +89,8 @@ def _scan(batches, shared, name: str, last_pass: bool):
     tree = _built[name]
     for batch in batches:
         rows = []
-        for doc, text, _, runs, items, _ in zip(*(batch.column(i) for i in range(6))):
-            text, w = text.as_py(), normal_words(text.as_py())
+        for text, runs, items in zip(batch.column(1).to_pylist(), batch.column(3), batch.column(4)):
+            w = normal_words(text)
             runs = [(r["first"], r["last"]) for r in runs.as_py() or ()]
             items = set(items.as_py() or ())
             if w and len(tree):
@@ -111,17 +108,18 @@ def _scan(batches, shared, name: str, last_pass: bool):
             if runs and last_pass:
                 place = [m.span() for m in _WORD.finditer(text)]
                 spans = [{"start": place[a][0], "end": place[b][1]} for a, b in runs]
-            rows.append((doc.as_py(), None if last_pass else text, len(w),
-                         [{"first": a, "last": b} for a, b in runs], sorted(items), spans))
+            rows.append((len(w), [{"first": a, "last": b} for a, b in runs], sorted(items), spans))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SCHEMA)], schema=_SCHEMA)
+            [*batch.columns[:2], *(pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(_FOUND))],
+            names=["row", "text", *(name for name, _ in _FOUND)])
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", window: int = WINDOW,
+    docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("doc_id",), window: int = WINDOW,
     max_chars: int = MAX_CHARS,
 ) -> DataFrame:
-    """id, n_words, n_hit, item_ids (sorted strings), spans (character offsets in the text)."""
+    """The columns `carry` of `docs` with n_words, n_hit, item_ids (sorted strings) and spans
+    (character offsets in the text)."""
     spark = docs.sparkSession
     keys = stage(
         map_arrow(
@@ -131,12 +129,13 @@ def find_contamination(
     size = keys.agg(F.sum(F.length("key") + 2)).first()[0] or 0
     shards = max(1, -(-size // max_chars))
     current = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        F.struct(*carry).alias("row"), F.col("text").cast("string").alias("text"),
         F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<struct<first:long,last:long>>").alias("runs"),
         F.array().cast("array<string>").alias("items"),
         F.array().cast("array<struct<start:long,end:long>>").alias("spans"),
     )
+    ddl = f"row {current.schema['row'].dataType.simpleString()}, {_DDL}"
     for shard in range(shards):
         part = keys.filter(F.pmod(F.xxhash64("key"), F.lit(shards)) == shard)
         shared = spark.sparkContext.broadcast([(r["key"], list(r["items"])) for r in part.toLocalIterator()])
@@ -144,13 +143,12 @@ def find_contamination(
         current = map_arrow(
             current,
             lambda it, shared=shared, name=uuid.uuid4().hex, last_pass=last_pass: _scan(it, shared, name, last_pass),
-            _DDL)
+            ddl)
         if not last_pass:
             current = stage(current, "scanned")
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"] + 1)
     return current.select(
-        F.col("doc_id").alias(id_col), "n_words", n_hit.alias("n_hit"),
-        F.col("items").alias("item_ids"), "spans")
+        "row.*", F.col("n_words"), n_hit.alias("n_hit"), F.col("items").alias("item_ids"), "spans")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,8 +22,15 @@ _ORACLES: dict[str, str] = {
 }
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of corpus_pipeline.py over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {fn.__name__: fn for fn in _QUERIES}
+    return {fn.__name__: fn for fn in [*_QUERIES, pipeline]}
 
 
 def oracle_sql() -> dict[str, str]:
