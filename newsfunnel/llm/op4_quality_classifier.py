@@ -191,18 +191,21 @@ def train_linear(rows: list[tuple[float, np.ndarray]]) -> np.ndarray:
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     order = np.random.default_rng(0)
 
-    def weights(zb, nb):
-        return np.where(np.abs(zb) <= L1, 0.0, -(zb - np.sign(zb) * L1) / ((BETA + np.sqrt(nb)) / ALPHA + L2))
+    sparse = np.full((1 << BITS) + 1, L1)
+    sparse[-1] = 0.0  # the bias is never dropped
+
+    def weights(zb, nb, l1):
+        return np.where(np.abs(zb) <= l1, 0.0, -(zb - np.sign(zb) * l1) / ((BETA + np.sqrt(nb)) / ALPHA + L2))
 
     for _ in range(EPOCHS):
         for i in order.permutation(len(rows)):
             y, f = rows[i]
-            w = weights(z[f], n[f])
+            w = weights(z[f], n[f], sparse[f])
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -40, 40))) - y
             sigma = (np.sqrt(n[f] + g * g) - np.sqrt(n[f])) / ALPHA
             z[f] += g - sigma * w
             n[f] += g * g
-    return weights(z, n)
+    return weights(z, n, sparse)
 
 
 def _train(batches):

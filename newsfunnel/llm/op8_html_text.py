@@ -190,11 +190,11 @@ def best_region(scores: np.ndarray) -> tuple[int, int]:
     total = np.concatenate([[0.0], np.cumsum(scores)])
     low = np.minimum.accumulate(total[:-1])
     gain = total[1:] - low
-    last = int(np.argmax(gain))
+    last = len(gain) - 1 - int(np.argmax(gain[::-1]))
     if gain[last] <= 0:
         return 0, 0
-    # The latest start with the least sum before it: the shortest best run.
-    first = int(np.flatnonzero(total[:last + 1] == low[last])[-1])
+    # Ties go to the longest run.
+    first = int(np.flatnonzero(total[:last + 1] == low[last])[0])
     return first, last + 1
 
 
