@@ -29,6 +29,20 @@ def query_grid(spark, sf):
     return ingest.query_grid(terms)
 
 
+@query("expected_feeds", f"""
+    SELECT s_name || ' & Co ' || verb AS feed,
+      '{dims.SEARCH_URL_PREFIX}' || replace(s_name, '#', '%23') || '%20%26%20Co%20' || verb
+        || '{dims.SEARCH_URL_SUFFIX}' AS url
+    FROM supplier, (VALUES {_VERBS}) v(pos, verb), (SELECT count(*) AS n FROM supplier)
+    WHERE pos * n + s_suppkey < 8
+    UNION ALL VALUES {", ".join(f"({S.lit(k)}, {S.lit(v)})" for k, v in dims.DIRECT_FEEDS.items())}""")
+def expected_feeds(spark, sf):
+    """What a refresh expects: the first queries of the grid and the direct feeds."""
+    terms = V.table(spark, sf, "supplier").select(
+        F.concat("s_name", F.lit(" & Co")).alias("term"), F.col("s_suppkey").alias("term_pos"))
+    return ingest.expected_feeds(terms, limit=dims.REFRESH_PRESET["query_limit"])
+
+
 def landed_pages(spark, sf, folder: str) -> str:
     """Pages landed as RSS files, one folder per publisher domain."""
     path = f"{run_dir(spark, folder)}/feeds"

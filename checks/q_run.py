@@ -367,7 +367,7 @@ def _write_prose(rows: list[dict]) -> str:
 def options(now: dt.datetime) -> digest_run.DigestOptions:
     return digest_run.DigestOptions(
         now=now, screen_fn=_screen, confirm_fn=_confirm, extract_fn=_extract,
-        embed_fn=_embed_words, prose_fn=_write_prose, window_days=3650, per_feed_cap=100_000,
+        embed_fn=_embed_words, prose_fn=_write_prose, window_days=3650, per_feed_cap=None,
         embed_dim=64, cosine_threshold=0.97, parallel=4,
         patterns={"deal": r"\bthe\b", "signal": r"\bof\b", "noise": r"\bnever-there\b"},
     )
@@ -407,8 +407,7 @@ def export_json_roundtrip(spark, sf):
     back = {n: spark.read.schema(p.schema).json(f"{path}/{n}") for n, p in parts.items()}
     deals = back["digest"].select("title", F.explode("deals").alias("d")).select(
         "title", "d.rank_pos", "d.deal_id", "d.cluster_id", "d.confidence")
-    members = back["clusters"].select(
-        "cluster_id", "size", F.explode("member_ids").alias("id"))
+    members = back["members"].select("cluster_id", F.col("article_id").alias("id"))
     return deals.join(members, "cluster_id").join(
         back["articles"].select("id", "url"), "id", "left")
 

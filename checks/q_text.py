@@ -65,6 +65,7 @@ def tier_for(spark, sf):
 @query("normalise_ts", """
     SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN
       'about ' || strftime(o_orderdate, '%Y-%m-%d')
+      WHEN o_orderstatus = 'O' AND o_orderkey % 5 = 4 THEN '12:30'
       ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') END AS published FROM orders""")
 def normalise_ts(spark, sf):
     day = F.col("o_orderdate")
@@ -73,6 +74,14 @@ def normalise_ts(spark, sf):
         F.concat(F.date_format(day, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")),
     ).when(
         F.col("o_orderstatus") == "P", F.concat(F.lit("about "), F.date_format(day, "yyyy-MM-dd"))
+    ).when(
+        F.col("o_orderkey") % 5 == 1, F.date_format(day, "EEE, d MMM yyyy HH:mm 'GMT'")
+    ).when(
+        F.col("o_orderkey") % 5 == 2, F.date_format(day, "d MMM yy HH:mm:ss '+0000'")
+    ).when(
+        F.col("o_orderkey") % 5 == 3, F.date_format(day, "EEE, d MMMM yyyy HH:mm:ss 'GMT'")
+    ).when(
+        F.col("o_orderkey") % 5 == 4, F.lit("12:30")
     ).otherwise(F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     return V.table(spark, sf, "orders").select(
         "o_orderkey", dates.normalise_ts(raw).alias("published"))

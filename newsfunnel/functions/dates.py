@@ -8,14 +8,20 @@ from pyspark.sql import Column, functions as F
 def parse_feed_date(c: Column) -> Column:
     """ISO-8601 or RFC-822 text to a timestamp, NULL when neither fits.
 
-    The weekday of an RFC-822 date is removed first: pattern letter E is not accepted.
+    An ISO date must begin with year, month and day: a bare time would take the date of the day
+    on which it is read. An RFC-822 date may lack its weekday, seconds, time or zone (then UTC),
+    have a two-digit year (50 to 99 are of the last century) and a month spelt out. Its weekday is
+    removed first: pattern letter E is not accepted.
     """
-    plain = F.regexp_replace(c, r"^\s*[A-Za-z]{3,9},\s*", "")
-    return F.coalesce(
-        F.try_to_timestamp(c),
-        F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss zzz")),
-        F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss Z")),
-    )
+    iso = F.when(c.rlike(r"^\s*\d{4}-\d{2}-\d{2}(?:[T ]|\s*$)"), F.try_to_timestamp(F.trim(c)))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"^ ?[A-Za-z]{3,9},? ", ""))
+    plain = F.regexp_replace(plain, r"^(\d{1,2} [A-Za-z]{3})[A-Za-z]*\.? ", "$1 ")
+    plain = F.regexp_replace(plain, r"^(\d{1,2} [A-Za-z]{3}) ([0-4]\d)(?= |$)", "$1 20$2")
+    plain = F.regexp_replace(plain, r"^(\d{1,2} [A-Za-z]{3}) ([5-9]\d)(?= |$)", "$1 19$2")
+    plain = F.regexp_replace(plain, r" (\d{1,2}:\d{2})(?= |$)", " $1:00")
+    day = "d MMM yyyy"
+    patterns = [f"{day} H:mm:ss zzz", f"{day} H:mm:ss Z", f"{day} H:mm:ss", day]
+    return F.coalesce(iso, *[F.try_to_timestamp(plain, F.lit(p)) for p in patterns])
 
 
 def normalise_ts(c: Column) -> Column:

@@ -97,7 +97,9 @@ def match_by_echo(packed: DataFrame, responses: DataFrame, list_path: str = "$.v
         "batch",
         F.posexplode(F.try_variant_get("_v", list_path, "array<variant>")).alias("pos", "entry"),
     )
-    echoed = entries.withColumn("n", model_json.number_at(F.col("entry"), "$.n").cast("int"))
+    n = model_json.number_at(F.col("entry"), "$.n")
+    # Whole numbers only: 1.5 echoes no row.
+    echoed = entries.withColumn("n", F.when(n == F.floor(n), n).cast("int"))
     last = echoed.filter("n is not null").groupBy("batch", "n").agg(
         F.max_by(F.to_json("entry"), "pos").alias("answer_json")
     )

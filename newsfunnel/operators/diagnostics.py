@@ -104,8 +104,8 @@ def tier_counts(articles: DataFrame) -> DataFrame:
 
 
 def confidence_drift(deals: DataFrame, conf: str = "relevance_conf") -> DataFrame:
-    """One row: range and number of distinct two-decimal confidences. One distinct value means
-    the confidence carries no ranking signal."""
+    """One row: range and number of distinct two-decimal confidences of `deals` or of any rows
+    with a confidence. One distinct value means the confidence carries no ranking signal."""
     c = F.col(conf)
     return deals.agg(
         F.min(c).alias("min_conf"), F.max(c).alias("max_conf"),
@@ -118,7 +118,9 @@ def audit_chain(deals: DataFrame, membership: DataFrame, articles: DataFrame) ->
     """(deal_id, cluster_id, article_id, url): every deal down to the evidence it rests on."""
     urls = articles.select(F.col("id").alias("article_id"), "url")
     return (
-        deals.select("deal_id", "cluster_id").join(membership, "cluster_id")
+        deals.select("deal_id", "cluster_id").join(membership, "cluster_id", "left")
+        # A deal whose cluster is unknown rests on its own article.
+        .withColumn("article_id", F.coalesce("article_id", "deal_id"))
         .join(urls, "article_id", "left")
         .select("deal_id", "cluster_id", "article_id", "url")
     )

@@ -87,13 +87,16 @@ def drop_blocked(
 
 
 def cap_per_feed(
-    df: DataFrame, cap: int = dims.PER_FEED_CAP, feed: str = "feed", order: tuple = ("feed_pos",)
+    df: DataFrame, cap: int | None = dims.PER_FEED_CAP, feed: str = "feed",
+    order: tuple = ("feed_pos",),
 ) -> DataFrame:
-    """The first `cap` accepted items of each feed, in arrival order.
+    """The first `cap` accepted items of each feed, in arrival order; all of them if it is None.
 
     Catalyst turns this into a partial group limit before the shuffle, so even a feed that
     holds most rows sends at most `cap` rows per task.
     """
+    if cap is None:
+        return df
     first = Window.partitionBy(feed).orderBy(*order)
     return (
         df.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= cap).drop("_rn")
@@ -102,7 +105,7 @@ def cap_per_feed(
 
 def accept_items(
     items: DataFrame, now: Column, window_days: int, blocklist: DataFrame, aliases: DataFrame,
-    per_feed_cap: int = dims.PER_FEED_CAP,
+    per_feed_cap: int | None = dims.PER_FEED_CAP,
 ) -> DataFrame:
     """Feed items (feed, feed_pos, FEED_ITEM columns) to raw articles."""
     dated = items.filter(
@@ -129,3 +132,13 @@ def union_feeds(first: DataFrame, *others: DataFrame) -> DataFrame:
     for other in others:
         first = first.unionByName(other)
     return first
+
+
+def expected_feeds(
+    terms: DataFrame, direct: dict[str, str] = dims.DIRECT_FEEDS,
+    verbs: list[str] = dims.QUERY_VERBS, limit: int | None = None,
+) -> DataFrame:
+    """(feed, url): the query grid, cut to `limit` queries, then the direct feeds."""
+    grid = query_grid(terms, verbs, limit).select(F.col("name").alias("feed"), "url")
+    rows = F.array(*[F.struct(F.lit(k).alias("feed"), F.lit(v).alias("url")) for k, v in direct.items()])
+    return union_feeds(grid, terms.sparkSession.range(1).select(F.inline(rows)))

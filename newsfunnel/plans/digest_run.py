@@ -29,7 +29,9 @@ class DigestOptions:
     embed_fn: Callable | None = None
     prose_fn: Callable | None = None
     window_days: int = dims.WINDOW_DAYS
-    per_feed_cap: int = dims.PER_FEED_CAP
+    per_feed_cap: int | None = dims.PER_FEED_CAP  # None: no cap
+    query_limit: int | None = None  # queries of the grid that are expected to bring feeds
+    expected: Callable | None = None  # (spark, query limit) -> feeds that should have items
     embed_dim: int = dims.EMBED_DIM
     cosine_threshold: float = dims.COSINE_THRESHOLD
     title_ratio: int = dims.TITLE_MATCH_RATIO
@@ -85,6 +87,9 @@ def run_digest(spark: SparkSession, items: DataFrame, opts: DigestOptions) -> Di
     now = F.lit(opts.now)
     start = dates.cutoff(now, opts.window_days)
     aliases, tiers = dims.alias_dim(spark), dims.tier_dim(spark)
+    expected = (
+        opts.expected(spark, opts.query_limit) if opts.expected else items.select("feed").distinct()
+    )
     raw = cut_lineage(ingest.accept_items(
         feeds.good_items(items), now, opts.window_days, dims.blocklist_dim(spark), aliases,
         opts.per_feed_cap,
@@ -172,19 +177,20 @@ def run_digest(spark: SparkSession, items: DataFrame, opts: DigestOptions) -> Di
             "merged": merged.agg(F.coalesce(F.sum("merged"), F.lit(0)).alias("merged")),
             "origins": yields,
             "tiers": diagnostics.tier_counts(canonical),
-            "drift": diagnostics.confidence_drift(merged),
+            "drift": diagnostics.confidence_drift(
+                verdicts.join(relevant.select("id"), "id", "left_semi"), "confidence"),
+            "failures": feeds.feed_failures(items, expected),
         },
     )
 
 
 def snapshot_export(run: DigestRun) -> dict[str, DataFrame]:
-    """The run's JSON export: the nested digest (one row), its clusters and its articles."""
+    """The run's JSON export: the nested digest (one row), the members of its clusters as rows
+    (a cluster of any size has the same form) and its articles."""
     t = run.tables
     members, articles = snapshot.evidence(t["deals"], t["membership"], t["articles"])
-    sizes = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size")).withColumn(
-        "canonical_id", F.col("cluster_id"))
     return {
         "digest": snapshot.snapshot_row(t["header"], t["funnel"], t["deals"], t["sections"]),
-        "clusters": clusters.nested_members(members, sizes),
+        "members": members,
         "articles": articles,
     }

@@ -1,4 +1,4 @@
-"""Declared schemas of the data model, as DDL. Nothing is inferred at read time."""
+"""The declared schema of landed feed items, as DDL."""
 
 from __future__ import annotations
 
@@ -8,29 +8,6 @@ FEED_ITEM = (
     "content string, source string, _corrupt_record string"
 )
 
-ARTICLE = (
-    "id string, title string, url string, source string, source_tier int, "
-    "published_at timestamp, snippet string, query_term string, feed_pos bigint"
-)
-
-MEMBERSHIP = ("article_id string, cluster_id string")
-
-CLUSTER = ("cluster_id string, canonical_id string, size bigint")
-
-VERDICT = (
-    "id string, is_deal boolean, verdict_type string, confidence double, reasoning string"
-)
-
-DEAL = (
-    "deal_id string, cluster_id string, acquirer string, target string, deal_type string, "
-    "deal_value double, currency string, stake_pct double, category string, region string, "
-    "announced_date timestamp, relevance_conf double"
-)
-
-PROSE = (
-    "deal_id string, headline string, summary string, why_it_matters string"
-)
-
 
 def names(ddl: str) -> list[str]:
     return [column.split()[0] for column in ddl.split(",")]

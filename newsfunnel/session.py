@@ -32,7 +32,8 @@ def build_session(master: str = "local[*]", app: str = "newsfunnel", **conf) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: `spark.checkpoint.dir` of the session.
 
-    A local folder is made up only when the cluster names none (tests, laptops).
+    A local folder is made up only for a local master (tests, laptops): on a cluster, executors
+    and driver share no such folder, so there the setting is required.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
@@ -40,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="newsfunnel-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsfunnel import schemas
 from newsfunnel.functions import text
+from newsfunnel.operators.numbering import with_ordinal
 
 RAW_ITEM = (
     "title string, link string, isoDate string, pubDate string, contentSnippet string, "
@@ -22,25 +23,36 @@ def feed_name(path):
 
 
 def shape_items(raw: DataFrame) -> DataFrame:
-    """(feed, path, FEED_ITEM columns) from the raw XML rows."""
+    """(feed, path, block, FEED_ITEM columns) from the raw XML rows."""
     content = F.coalesce("content", "description")
     return raw.select(
         feed_name(F.col("_metadata.file_path")).alias("feed"),
         F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
         "title", "link", "isoDate", "pubDate",
         F.coalesce("contentSnippet", text.strip_html(content)).alias("contentSnippet"),
         content.alias("content"), "source", "_corrupt_record",
-    ).select("feed", "path", *schemas.names(schemas.FEED_ITEM))
+    ).select("feed", "path", "block", *schemas.names(schemas.FEED_ITEM))
 
 
 def scan_feeds(spark: SparkSession, path: str) -> DataFrame:
     """Items of all landed RSS files below `path`. A broken file costs only its own items: it
-    shows up as a row with nothing but _corrupt_record."""
+    shows up as a row with nothing but _corrupt_record.
+
+    feed_pos numbers the items by file path and place in the file, however the files are split
+    and packed into tasks."""
     raw = (
         spark.read.format("xml").options(**READ_OPTIONS).option("recursiveFileLookup", "true")
         .schema(RAW_ITEM).load(path)
     )
-    return shape_items(raw).withColumn("feed_pos", F.monotonically_increasing_id()).drop("path")
+    read = shape_items(raw).withColumn("_at", F.monotonically_increasing_id())
+    return with_ordinal(read, arrival(), "feed_pos").drop("path", "block", "_at")
+
+
+def arrival() -> list:
+    """Order of scanned rows with `_at`, their row number within the task: files by path, splits
+    by their first byte, then as read."""
+    return [F.asc("path"), F.asc("block"), F.asc("_at")]
 
 
 def stream_feeds(spark: SparkSession, path: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Snapshot store: a directory of tables, replaced as a whole.
 
-Every write goes to a new version folder; a one-line pointer then names it. A reader sees the
-old version or the new one, never a mixture, and a writer that dies leaves the old one.
+Every write goes to a new version folder; a pointer line with the next number is then added and
+never replaced. The highest number is the current version. So a reader sees the old version or
+the new one, never a mixture and never nothing, and a writer that dies leaves the old one.
 """
 
 from __future__ import annotations
@@ -24,9 +25,19 @@ class LoadedSnapshot(NamedTuple):
     source: str  # 'live' or 'seed'
 
 
+def _pointer(spark: SparkSession, path: str) -> tuple[int, str]:
+    """(number, version) of the newest pointer line; one line per write."""
+    line = spark.read.text(f"{path}/current").agg(F.max("value")).first()[0]
+    number, _, version = line.partition(" ")
+    return int(number), version
+
+
 def _current(spark: SparkSession, path: str) -> str:
-    version = spark.read.text(f"{path}/current").first()[0]
-    return f"{path}/{version}"
+    return f"{path}/{_pointer(spark, path)[1]}"
+
+
+def _is_missing(error: PySparkException) -> bool:
+    return error.getCondition() == "PATH_NOT_FOUND"
 
 
 def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -36,10 +47,15 @@ def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def _existing_deals(spark: SparkSession, path: str) -> int:
+    """Only a snapshot that was never written counts as 0; any other failure is raised, so the
+    guard never opens because storage is unwell."""
     try:
-        return read_snapshot(spark, path)["deals"].count()
-    except PySparkException:
-        return 0
+        _pointer(spark, path)
+    except PySparkException as error:
+        if _is_missing(error):
+            return 0
+        raise
+    return read_snapshot(spark, path)["deals"].count()
 
 
 def write_snapshot(tables: dict[str, DataFrame], path: str, force: bool = False) -> str:
@@ -58,8 +74,14 @@ def write_snapshot(tables: dict[str, DataFrame], path: str, force: bool = False)
         table.write.mode("error").parquet(f"{path}/{version}/{name}")
     names = spark.createDataFrame([(n,) for n in tables], "value string")
     names.coalesce(1).write.mode("error").text(f"{path}/{version}/tables")
-    pointer = spark.createDataFrame([(version,)], "value string")
-    pointer.coalesce(1).write.mode("overwrite").text(f"{path}/current")
+    try:
+        number = _pointer(spark, path)[0] + 1
+    except PySparkException as error:
+        if not _is_missing(error):
+            raise
+        number = 1
+    pointer = spark.createDataFrame([(f"{number:020d} {version}",)], "value string")
+    pointer.coalesce(1).write.mode("append").text(f"{path}/current")
     return version
 
 

@@ -21,6 +21,7 @@ def preset(opts: DigestOptions) -> DigestOptions:
     return replace(
         opts, window_days=dims.REFRESH_PRESET["window_days"],
         per_feed_cap=dims.REFRESH_PRESET["per_feed_cap"],
+        query_limit=dims.REFRESH_PRESET["query_limit"],
     )
 
 
@@ -33,9 +34,9 @@ def land_new_items(spark: SparkSession, feed_path: str, store: str, checkpoint:
 
     def append(batch: DataFrame, batch_id: int) -> None:
         read = batch.withColumn("_at", F.monotonically_increasing_id())
-        numbered = with_ordinal(read, [F.asc("path"), F.asc("_at")], "feed_pos")
+        numbered = with_ordinal(read, feeds.arrival(), "feed_pos")
         numbered.withColumn("feed_pos", F.lit(batch_id * BATCH_SPAN) + F.col("feed_pos")).drop(
-            "path", "_at"
+            "path", "block", "_at"
         ).write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
 
     query = (

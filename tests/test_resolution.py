@@ -253,16 +253,6 @@ def test_cluster_order_does_not_matter(spark):
     assert results == {((("a", "b"), ("b", "b"), ("c", "b"), ("d", "d")), (("b", 3), ("d", 1)))}
 
 
-def test_big_cluster_is_exported_in_chunks(spark):
-    membership = spark.range(1000).select(
-        F.format_string("m%04d", "id").alias("article_id"), F.lit("m0000").alias("cluster_id"))
-    rows = spark.createDataFrame([("m0000", "m0000", 1000)],
-                                 "cluster_id string, canonical_id string, size bigint")
-    out = clusters.nested_members(membership, rows, chunk=100).collect()
-    assert 5 <= len(out) <= 10
-    assert sorted(m for r in out for m in r["member_ids"]) == [f"m{i:04d}" for i in range(1000)]
-
-
 def test_ordinal_is_global_and_dense(spark):
     df = spark.range(0, 5000, 1, 7).select(((F.col("id") * 7919) % 5000).alias("k"))
     out = with_ordinal(df, [F.asc("k")]).collect()
