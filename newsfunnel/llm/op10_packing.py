@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsfunnel.llm.tokens import ByteBpe
+from newsfunnel.llm.tokens import byte_bpe
 from newsfunnel.llm.textkit import map_arrow, stage, table
 
 SEQUENCE = 2048
@@ -89,7 +89,7 @@ def pieces_of(ids: bytes, capacity: int) -> Iterator[tuple[int, int]]:
 
 
 def _pack_task(batches, capacity: int, limit: int, path: str | None):
-    bpe = ByteBpe(path)
+    bpe = byte_bpe(path)
     bins = OpenBins(capacity, limit, TaskContext.get().partitionId() * _TASK)
     for batch in batches:
         rows: list[list] = [[] for _ in _SCHEMA]

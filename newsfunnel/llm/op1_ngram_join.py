@@ -96,30 +96,33 @@ class _Join:
             distinct.join(groups, key).select("sid", "gid", "n", "n_cover", "n_sample", "size"), "groups")
 
     def bucket_rows(self) -> DataFrame:
-        """(tok, sid): what each distinct set puts into the prefix join."""
+        """(tok, sid, n, pos): what each distinct set puts into the prefix join, and its place there."""
         leaders = self.members.filter("sid = gid").select(F.col("sid").alias("doc_id"), "n").distinct()
         tokens = (
             self.sets.select("doc_id", "n", "n_cover", "sample").join(leaders, ["doc_id", "n"], "left_semi")
             .select(F.col("doc_id").alias("gid"), "n_cover", F.posexplode("sample").alias("pos", "tok"))
-            .select("tok", "gid", (F.col("pos") < F.col("n_cover")).alias("cover"))
+            .select("tok", "gid", "pos", (F.col("pos") < F.col("n_cover")).alias("cover"))
         )
         counts = stage(tokens.groupBy("tok").count().filter("count > 1"), "counts")
         shared = stage(tokens.join(counts, "tok"), "shared")
         # What a group shares with any other, for the bound in `verified`: at most its sample.
         self.samples = stage(shared.groupBy("gid").agg(F.collect_set("tok").alias("toks")), "samples")
         # Sets whose prefix lost too much to frequent shingles.
-        lost = (
-            shared.filter(f"cover and count > {self.heavy}").groupBy("gid")
-            .agg(F.count(F.lit(1)).alias("lost"))
-        )
+        gone = shared.filter(f"count > {self.heavy}").groupBy("gid").agg(
+            F.sum(F.col("cover").cast("int")).alias("lost"), F.collect_list("pos").alias("heavy_pos"))
+        gone = stage(gone, "gone")  # lists within one sample
         p = F.col("n") - F.ceil(F.lit(self.percent) * F.col("n") / 100 - 1e-9) + 1
-        bare = self.members.join(lost, "gid").filter(F.col("n_cover") - F.col("lost") < p)
+        bare = self.members.join(gone, "gid").filter(F.col("n_cover") - F.col("lost") < p)
+        # Frequent shingles come last, so those before a shingle do not count for its place.
+        before = F.coalesce(F.size(F.filter("heavy_pos", lambda x: x < F.col("pos"))), F.lit(0))
         light = (
-            shared.filter(f"count <= {self.heavy}").join(self.members.select("gid", "sid"), "gid")
-            .select("tok", "sid")
+            shared.filter(f"count <= {self.heavy}").join(gone.select("gid", "heavy_pos"), "gid", "left")
+            .select("tok", "gid", F.when(F.col("heavy_pos").isNull(), F.col("pos")).otherwise(F.col("pos") - before).alias("pos"))
+            .join(self.members.select("gid", "sid", "n"), "gid").select("tok", "sid", "n", "pos")
         )
         # Members of one group have the same prefix: the group is a bucket too.
-        grouped = self.members.filter("size > 1").select(F.xxhash64(F.lit("group"), "gid", "n").alias("tok"), "sid")
+        grouped = self.members.filter("size > 1").select(
+            F.xxhash64(F.lit("group"), "gid", "n").alias("tok"), "sid", "n", F.lit(0).alias("pos"))
         return light.unionByName(grouped).unionByName(self._rarest(bare.select("sid").distinct()))
 
     def _rarest(self, sids: DataFrame) -> DataFrame:
@@ -134,9 +137,9 @@ class _Join:
         )
         p = F.col("n") - F.ceil(F.lit(self.percent) * F.col("n") / 100 - 1e-9) + 1
         return (
-            ranked.select("sid", F.explode(F.slice("r", F.lit(1), p.cast("int"))).alias("x"))
+            ranked.select("sid", "n", F.posexplode(F.slice("r", F.lit(1), p.cast("int"))).alias("pos", "x"))
             .filter("x.count > 1")
-            .select(F.xxhash64(F.lit("rare"), "x.item").alias("tok"), "sid")
+            .select(F.xxhash64(F.lit("rare"), "x.item").alias("tok"), "sid", "n", "pos")
         )
 
     def whole_sets(self, sids: DataFrame) -> DataFrame:
@@ -185,14 +188,18 @@ class _Join:
         part = connected_components(found).toDF("sid", "comp")
         placed = (
             rows.join(first.select("tok"), "tok").join(part, "sid", "left")
-            .select("tok", "sid", F.coalesce("comp", "sid").alias("comp"))
+            .select("tok", "sid", "n", "pos", F.coalesce("comp", "sid").alias("comp"))
         )
         mixed = placed.groupBy("tok").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-        open_rows = stage(placed.join(mixed.filter("low < high"), "tok").select("tok", "sid", "comp", "low"), "open")
-        outside = open_rows.filter("comp != low").select("tok", F.col("sid").alias("a"), F.col("comp").alias("c_a"))
-        others = open_rows.select("tok", F.col("sid").alias("b"), F.col("comp").alias("c_b"), "low")
+        open_rows = stage(
+            placed.join(mixed.filter("low < high"), "tok").select("tok", "sid", "n", "pos", "comp", "low"), "open")
+        outside = open_rows.filter("comp != low").toDF("tok", "a", "n_a", "pos_a", "c_a", "low_a")
+        others = open_rows.toDF("tok", "b", "n_b", "pos_b", "c_b", "low")
+        # At the first shingle that two sets share, what follows must still be enough.
+        need = _alpha(F.col("n_a"), F.col("n_b"), self.percent)
         rest = (
-            outside.join(others, "tok").filter("c_a != c_b and (c_b = low or a > b)")
+            outside.join(others, (outside["tok"] == others["tok"]) & F.expr("c_a != c_b and (c_b = low or a > b)")
+                         & (F.col("n_a") - F.col("pos_a") >= need) & (F.col("n_b") - F.col("pos_b") >= need))
             .select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
         )
         return found.unionByName(self.verified(rest))

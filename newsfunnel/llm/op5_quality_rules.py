@@ -1,8 +1,8 @@
 """Quality rules: fixed base rules, then tokeniser fertility with bands per language and script.
 
 Two public vocabularies measure every whole text: characters per byte-level BPE token, entropy of
-those tokens relative to the most it could be, and the share of byte-fallback pieces of a second
-vocabulary. For every group (language, script, length class) the quartiles over all rows that pass
+those tokens relative to the most it could be, and how many byte-fallback pieces of a second
+vocabulary there are per character and byte piece. For every group (language, script, length class) the quartiles over all rows that pass
 the base rules give the band; a text outside the band is rejected. Small groups use the band of
 their script and length class, then that of the length class.
 
@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsfunnel.llm.textkit import NOT_SPACE, chunks, gram_hashes, map_arrow, range_hashes, stage, table, words
-from newsfunnel.llm.tokens import ByteBpe, PieceBpe
+from newsfunnel.llm.tokens import byte_bpe, piece_bpe
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
 BAND = 2.0  # quartile distances beyond the quartiles
 SLACK = {"chars_per_token": 0.1, "entropy": 0.02, "fallback": 0.01}  # least width beyond a quartile
+BROADCAST_BANDS = 10_000  # bands that may be broadcast (some 100 bytes each)
 LEAST_GROUP = 100  # rows that a group's own band needs
 
 _SYMBOL = np.zeros(256, dtype=np.int64)
@@ -89,7 +90,7 @@ def token_entropy(ids: np.ndarray) -> float:
 
 
 def _measure(batches, byte_path: str | None, piece_path: str | None):
-    byte_bpe, piece_bpe = ByteBpe(byte_path), PieceBpe(piece_path)
+    tokens, pieces = byte_bpe(byte_path), piece_bpe(piece_path)
     for batch in batches:
         texts = batch.column(1)
         columns: list[list] = [[] for _ in range(10)]
@@ -104,15 +105,15 @@ def _measure(batches, byte_path: str | None, piece_path: str | None):
                 a, b = int(chunk.offsets[r]), int(chunk.offsets[r + 1])
                 i, j = int(splits[r]), int(splits[r + 1])
                 text = texts[chunk.first + r].as_py() or ""
-                ids = np.frombuffer(byte_bpe.packed(text), dtype="<u4")
-                pieces, fallback = piece_bpe.counts(text.split())
+                ids = np.frombuffer(tokens.packed(text), dtype="<u4")
+                fallback = pieces.fallback(text)
                 script = np.bincount(_SCRIPT[data[a:b]], minlength=len(_SCRIPT_NAMES))
                 script[0] = 0
                 row = (
                     j - i, int(word_heads[j] - word_heads[i]), int(symbols[b] - symbols[a]),
                     duplicate_lines(text), repeated_words(h[i:j]),
                     _SCRIPT_NAMES[int(script.argmax())], len(ids), len(text) / max(1, len(ids)),
-                    token_entropy(ids), fallback / max(1, pieces),
+                    token_entropy(ids), fallback / max(1, fallback + len(text)),
                 )
                 for column, value in zip(columns, row):
                     column.append(value)
@@ -153,7 +154,10 @@ def quality_rules(
         bands = _bands(good, keys)
         if i < 2:
             bands = bands.filter(F.col("size") >= LEAST_GROUP)
-        out = out.join(bands.select(*keys, F.struct(*SLACK).alias(f"band{i}")), keys, "left")
+        bands = stage(bands.select(*keys, F.struct(*SLACK).alias(f"band{i}")), "bands")
+        if bands.count() <= BROADCAST_BANDS:
+            bands = F.broadcast(bands)
+        out = out.join(bands, keys, "left")
     band = F.coalesce("band0", "band1", "band2")
     inside = F.lit(True)
     for m in SLACK:

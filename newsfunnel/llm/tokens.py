@@ -8,12 +8,14 @@ there and every distinct piece is encoded once per worker.
 from __future__ import annotations
 
 import base64
+import functools
 import re
+import struct
 
 import public_tokenizers
 
 END_OF_TEXT = "<|endoftext|>"
-CACHE_PIECES = 200_000  # entries; the cache starts afresh beyond (memory only, no effect on ids)
+CACHE_PIECES = 150_000  # entries of one generation (memory only, no effect on ids)
 CACHED_CHARS = 64
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -34,20 +36,21 @@ class ByteBpe:
             "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
             special_tokens={END_OF_TEXT: 50256},
         )
+        # Two generations: a full one becomes the old one, and what is still used moves back.
         self._cache: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def encode(self, text: str) -> list[int]:
         return self._encoding.encode(text, allowed_special={END_OF_TEXT})
 
     def _piece(self, piece: str) -> bytes:
-        if END_OF_TEXT in piece:
-            ids = self.encode(piece)
-        else:
-            ids = self._encoding.encode_ordinary(piece)
-        out = b"".join(i.to_bytes(4, "little") for i in ids)
+        out = self._old.get(piece)
+        if out is None:
+            ids = self.encode(piece) if END_OF_TEXT in piece else self._encoding.encode_ordinary(piece)
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= CACHED_CHARS:
             if len(self._cache) >= CACHE_PIECES:
-                self._cache.clear()
+                self._old, self._cache = self._cache, {}
             self._cache[piece] = out
         return out
 
@@ -55,34 +58,44 @@ class ByteBpe:
         """All ids of `text`, four bytes each."""
         if not text:
             return b""
-        get, make = self._cache.get, self._piece
-        return b"".join([get(p) or make(p) for p in _CUT.split(text)])
+        make = self._piece
+        return b"".join([self._cache.get(p) or make(p) for p in _CUT.split(text)])
 
 
 class PieceBpe:
-    """(pieces, byte-fallback pieces) of every space-separated word, cached."""
+    """Byte-fallback pieces of a vocabulary with byte fallback. Which characters fall back, and
+    into how many bytes, depends on the character alone, so each is asked for once."""
 
     def __init__(self, path: str | None = None):
         import sentencepiece
 
         self._model = sentencepiece.SentencePieceProcessor(
             model_file=path or public_tokenizers.path(PIECE_BPE))
-        self._byte = [self._model.is_byte(i) for i in range(self._model.get_piece_size())]
-        self._cache: dict[str, tuple[int, int]] = {}
-
-    def counts(self, words: list[str]) -> tuple[int, int]:
-        total = fallback = 0
-        missing = [w for w in set(words) if w not in self._cache]
-        if len(self._cache) + len(missing) > CACHE_PIECES:
-            self._cache.clear()
-            missing = list(set(words))
-        fresh = {}
-        if missing:
-            for w, ids in zip(missing, self._model.encode(missing, num_threads=1)):
-                fresh[w] = (len(ids), sum(self._byte[i] for i in ids))
-            self._cache.update((w, v) for w, v in fresh.items() if len(w) <= CACHED_CHARS)
-        for w in words:
-            n, b = self._cache.get(w) or fresh[w]
-            total += n
-            fallback += b
-        return total, fallback
+        self._pieces: dict[str, int] = {}
+
+    def _ask(self, character: str) -> int:
+        out = sum(self._model.is_byte(i) for i in self._model.encode(character))
+        self._pieces[character] = out
+        return out
+
+    def fallback(self, text: str) -> int:
+        """Byte pieces that the visible characters of `text` fall back to."""
+        out = 0
+        for c in set(text):
+            n = self._pieces.get(c)
+            if n is None:
+                n = 0 if c.isspace() else self._ask(c)
+            if n:
+                out += n * text.count(c)
+        return out
+
+
+@functools.cache
+def byte_bpe(path: str | None = None) -> ByteBpe:
+    """One per worker, so that its cache serves all tasks of the worker."""
+    return ByteBpe(path)
+
+
+@functools.cache
+def piece_bpe(path: str | None = None) -> PieceBpe:
+    return PieceBpe(path)
