@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsfunnel.llm.textkit import (
-    NOT_SPACE, chunks, gram_hashes, list_array, map_arrow, mix, range_hashes, stage, table, words,
+    NOT_SPACE, chunks, gram_hashes, hash_sample, list_array, map_arrow, mix, range_hashes, stage, table, words,
 )
 
 BITS = 20
@@ -241,13 +241,14 @@ def _score_rows(batches, shared):
             [*batch.columns[:1], *(pa.array(s, pa.float64()) for s in scores)], names=["row", "p_junk", "p_abuse"])
 
 
-def _posteriors(patterns: DataFrame, prior: float) -> list[tuple[list[int], float]]:
+def _posteriors(patterns: DataFrame, prior: float) -> list[tuple[list[int], float, int]]:
+    """(votes, posterior of yes, rows) of every pattern."""
     rows = patterns.collect()  # at most 3 ** labellers patterns
     if not rows:
         return []
     votes = np.array([r["votes"] for r in rows])
     post, _ = expectation_maximisation(votes, np.array([r["n"] for r in rows], dtype=float), prior)
-    return [(r["votes"], float(p)) for r, p in zip(rows, post)]
+    return [(r["votes"], float(p), r["n"]) for r, p in zip(rows, post)]
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, insults: tuple[str, ...] = INSULTS):
@@ -266,18 +267,18 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, insu
     for task, (name, prior) in enumerate((("junk", 0.1), ("abuse", 0.1))):
         patterns = votes.groupBy(F.col(name).alias("votes")).agg(F.count(F.lit(1)).alias("n"))
         post = _posteriors(patterns, prior)
-        known = [(v, p) for v, p in post if any(v) and not 1 - CONFIDENT < p < CONFIDENT]
+        known = [(v, p) for v, p, _ in post if any(v) and not 1 - CONFIDENT < p < CONFIDENT]
         for side in (True, False):
             mine = [(v, p) for v, p in known if (p > 0.5) == side]
             if not mine:
                 continue
             # Patterns and posteriors as a small constant map.
+            total = sum(n for v, _, n in post if v in [m for m, _ in mine])
             probability = F.create_map(*[F.lit(x) for v, p in mine for x in (",".join(map(str, v)), p)])
             key = F.array_join(F.col(name).cast("array<string>"), ",")
-            picked.append(
-                votes.select("doc_id", F.lit(task).alias("task"), F.try_element_at(probability, key).alias("y"))
-                .filter("y is not null").orderBy(F.xxhash64(F.lit(f"{name}{side}"), "doc_id"), "doc_id")
-                .limit(train_rows // 2))
+            known_rows = votes.select(
+                "doc_id", F.lit(task).alias("task"), F.try_element_at(probability, key).alias("y")).filter("y is not null")
+            picked.append(hash_sample(known_rows, f"{name}{side}", train_rows // 2, total))
     if not picked:
         weights = np.append(np.zeros(1 << BITS, dtype=np.float32), np.float32(-3.0))
         return spark.sparkContext.broadcast([weights, weights])

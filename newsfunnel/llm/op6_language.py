@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsfunnel.llm.textkit import list_array, map_arrow, stage, table
+from newsfunnel.llm.textkit import hash_sample, list_array, map_arrow, stage, table
 
 ORDERS = (1, 2, 3)
 BITS = 16
@@ -206,7 +206,8 @@ def identify_languages(
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", fold.alias("fold"))
     learn = docs.filter("fold != 2 and lang is not null and text is not null")
-    labels = [r["lang"] for r in learn.select("lang").distinct().orderBy("lang").collect()]
+    sizes = learn.groupBy("lang", (F.col("fold") == 3).alias("calibrates")).count().collect()  # languages
+    labels = sorted({r["lang"] for r in sizes})
     everything = docs.select("doc_id", F.coalesce(F.col("fold") == 2, F.lit(False)).alias("held_out"), "text")
     if not labels:
         return everything.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
@@ -224,11 +225,13 @@ def identify_languages(
             df[r["bucket"]] = r["n"]
     idf = np.log((1 + total) / (1 + df)) + 1
     number = F.array_position(F.lit(labels), F.col("lang")).cast("int") - 1
-    spread = F.xxhash64(F.lit("sample"), "doc_id")
-    sample = stage(
-        learn.filter("fold != 3").orderBy(spread, "doc_id").limit(train_rows)
-        .unionByName(learn.filter("fold = 3").orderBy(spread, "doc_id").limit(calibrate_rows))
-        .select("text", number.alias("cls"), F.col("fold").cast("int").alias("fold")), "sample")
+    ids = learn.select("doc_id", "fold")
+    chosen = stage(hash_sample(ids.filter("fold != 3"), "train", train_rows, sum(r["count"] for r in sizes if not r["calibrates"]))
+                   .unionByName(hash_sample(ids.filter("fold = 3"), "calibrate", calibrate_rows,
+                                            sum(r["count"] for r in sizes if r["calibrates"]))), "chosen")
+    # The samples' sizes are parameters, so their ids may be broadcast.
+    sample = learn.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").select(
+        "text", number.alias("cls"), F.col("fold").cast("int").alias("fold"))
     features = map_arrow(
         sample, _features, "cls int, fold int, buckets array<int>, shares array<double>")
     # The bounded sample meets in one task.

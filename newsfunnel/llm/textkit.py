@@ -44,6 +44,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return cut_lineage(df, label)
 
 
+def hash_sample(df: DataFrame, salt: str, rows: int, total: int) -> DataFrame:
+    """At most `rows` rows of `df` (of `total`), chosen by the hash of doc_id. A hash threshold
+    leaves about twice as many before they are sorted, so no task gathers more than that."""
+    h = F.xxhash64(F.lit(salt), "doc_id")
+    share = 2 * rows / max(1, total)
+    if share < 1:
+        df = df.filter(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    return df.orderBy(h, "doc_id").limit(rows)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser: spreads every input bit over all 64 output bits."""
     x = x ^ (x >> np.uint64(30))
