@@ -40,13 +40,13 @@ def pre_filter(spark, sf):
     SELECT conv_id, turn, regexp_matches(t, '(?i)' || {S.lit(dims.NOISE_PATTERN)}) AS noise,
       regexp_matches(t, '(?i)' || {S.lit(dims.DEAL_VERB_PATTERN)}) AS deal,
       regexp_matches(t, '(?i)' || {S.lit(dims.SECTOR_SIGNAL_PATTERN)}) AS signal
-    FROM (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'Dabur to acquire stake ' || text
-      WHEN 'assistant' THEN text || ' Purchases 31,583 Shares of Colgate (NYSE: CL)'
+    FROM (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'FMCG firm to acquire stake ' || text
+      WHEN 'assistant' THEN text || ' Purchases 12,045 Shares of Northwind (NYSE: NWC)'
       ELSE text END AS t FROM conversations)""")
 def pre_filter_default(spark, sf):
-    hay = F.when(F.col("role") == "user", F.concat(F.lit("Dabur to acquire stake "), "text")).when(
+    hay = F.when(F.col("role") == "user", F.concat(F.lit("FMCG firm to acquire stake "), "text")).when(
         F.col("role") == "assistant",
-        F.concat("text", F.lit(" Purchases 31,583 Shares of Colgate (NYSE: CL)"))
+        F.concat("text", F.lit(" Purchases 12,045 Shares of Northwind (NYSE: NWC)"))
     ).otherwise(F.col("text"))
     return V.table(spark, sf, "conversations").select("conv_id", "turn", *[
         hay.rlike(f"(?i){pattern}").alias(name) for name, pattern in [

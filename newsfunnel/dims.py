@@ -158,6 +158,19 @@ WEIGHTS = {"relevance": 0.35, "credibility": 0.3, "recency": 0.2, "size": 0.15}
 TOP_N = 12
 WINDOW_DAYS = 90
 PER_FEED_CAP = 25
+# Sentences of the digest.
+METHODOLOGY = (
+    "Method: %d articles ingested from %d sources over the last %d days, "
+    "de-duplicated to %d unique stories (embedding similarity + title match), "
+    "filtered to %d confirmed FMCG deals, ranked to the top %d. "
+    "Confidence badges reflect source tier and how many independent outlets reported a "
+    "deal — they measure corroboration, not truth, and are not fact-checking. "
+    'Deal values are as reported; "Undisclosed" means terms were not made public.'
+)
+NO_DEALS = "No qualifying FMCG deals in this window."
+DEALS_TRACKED = " FMCG deals tracked this period."
+INVESTS, ACQUIRES = " invests in ", " acquires "
+
 REFRESH_PRESET = {"window_days": 21, "query_limit": 8, "per_feed_cap": 10}
 
 COSINE_THRESHOLD = 0.8

@@ -19,8 +19,8 @@ def attach_prose(items: DataFrame, prose: DataFrame, articles: DataFrame) -> Dat
         F.max_by(F.struct("headline", "summary", "why_it_matters"), "pos").alias("_p")
     )
     urls = articles.select(F.col("id").alias("deal_id"), "url")
-    verb = F.when(F.col("deal_type") == "Funding", F.lit(" invests in ")).otherwise(
-        F.lit(" acquires ")
+    verb = F.when(F.col("deal_type") == "Funding", F.lit(dims.INVESTS)).otherwise(
+        F.lit(dims.ACQUIRES)
     )
     return (
         items.join(last, "deal_id", "left").join(urls, "deal_id", "left")
@@ -70,12 +70,7 @@ def methodology(
 ) -> Column:
     """The closing paragraph, from computed numbers only."""
     return F.format_string(
-        "Method: %d articles ingested from %d sources over the last %d days, "
-        "de-duplicated to %d unique stories (embedding similarity + title match), "
-        "filtered to %d confirmed FMCG deals, ranked to the top %d. "
-        "Confidence badges reflect source tier and how many independent outlets reported a "
-        "deal — they measure corroboration, not truth, and are not fact-checking. "
-        'Deal values are as reported; "Undisclosed" means terms were not made public.',
+        dims.METHODOLOGY,
         ingested, sources, days, deduped, relevant, selected,
     )
 
@@ -84,10 +79,10 @@ def tldr(n_deals: Column, bullets: Column) -> Column:
     """Digest bullets: the given ones, trimmed and without blanks, or a counted fallback."""
     clean = F.filter(F.transform(bullets, text.web_trim), lambda b: b != "")
     return (
-        F.when(n_deals == 0, F.array(F.lit("No qualifying FMCG deals in this window.")))
+        F.when(n_deals == 0, F.array(F.lit(dims.NO_DEALS)))
         .when(F.coalesce(F.size(clean), F.lit(0)) > 0, clean)
         .otherwise(F.array(F.concat(
-            n_deals.cast("string"), F.lit(" FMCG deals tracked this period."))))
+            n_deals.cast("string"), F.lit(dims.DEALS_TRACKED))))
     )
 
 

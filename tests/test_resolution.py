@@ -175,10 +175,10 @@ def random_deals(seed, n, tight):
         days = rng.uniform(0, 40) if tight else rng.choice([0, 1, 4, 5, 5.5, 6, 9, 10, 11, 30])
         out.append({
             "deal_id": f"d{i:04d}", "cluster_id": f"d{i:04d}",
-            "acquirer": rng.choice(["Undisclosed", " undisclosed ", "", "Emami", "Emami Ltd",
-                                    "Marico", "The Company", "Marico Emami"]),
-            "target": rng.choice(["Vedix, SkinKraft", "Vedix", "SkinKraft Labs", "Plix",
-                                  "Plix Vedix", "Foods Group"]),
+            "acquirer": rng.choice(["Undisclosed", " undisclosed ", "", "Harrowby", "Harrowby Ltd",
+                                    "Marico", "The Company", "Marico Harrowby"]),
+            "target": rng.choice(["Zolvia, BrightHull", "Zolvia", "BrightHull Labs", "Corvane",
+                                  "Corvane Zolvia", "Foods Group"]),
             "deal_type": rng.choice(["M&A", "Stake"]),
             "deal_value": value,
             "currency": rng.choice(["INR", "USD"]) if value else None,
@@ -206,7 +206,7 @@ def test_same_deal_links_stay_linear_under_skew(spark):
     """A third of all records: one buyer, one target, one week."""
     deals = random_deals(8, 1200, True)
     for d in deals[:400]:
-        d.update(acquirer="Emami", target="Vedix", deal_type="M&A", deal_value=None,
+        d.update(acquirer="Harrowby", target="Zolvia", deal_type="M&A", deal_value=None,
                  currency=None, announced_date=dt.datetime(2024, 1, 1) + dt.timedelta(
                      minutes=d["feed_pos"]))
     links = merge.same_deal_links(spark.createDataFrame([tuple(d.values()) for d in deals], DEAL))
@@ -216,12 +216,12 @@ def test_same_deal_links_stay_linear_under_skew(spark):
 def test_merge_prefers_information_and_enriches(spark):
     day = dt.datetime(2026, 7, 16)
     rows = [
-        ("d1", "d1", "Undisclosed", "Naturis Cosmetics", "Funding", 100.0, "INR_CRORE", None, day, 1),
-        ("d2", "d2", "Sharrp", "Naturis", "Funding", 100.0, "INR_CRORE", None, day, 2),
-        ("d3", "d3", "Undisclosed", "Naturis Cosmetics", "Funding", 100.0, "INR_CRORE", 10.0,
+        ("d1", "d1", "Undisclosed", "Quenta Cosmetics", "Funding", 100.0, "INR_CRORE", None, day, 1),
+        ("d2", "d2", "Ostwind", "Quenta", "Funding", 100.0, "INR_CRORE", None, day, 2),
+        ("d3", "d3", "Undisclosed", "Quenta Cosmetics", "Funding", 100.0, "INR_CRORE", 10.0,
          day, 3),
-        ("d4", "d4", "Candriam", "Colgate-Palmolive Company", "Stake", None, None, None, day, 4),
-        ("d5", "d5", "Kestra", "Colgate-Palmolive Company", "Stake", None, None, None, day, 5),
+        ("d4", "d4", "Lumenfold", "Brightbrook Hollis Company", "Stake", None, None, None, day, 4),
+        ("d5", "d5", "Ironvale", "Brightbrook Hollis Company", "Stake", None, None, None, day, 5),
     ]
     deals = spark.createDataFrame(rows, DEAL)
     membership = spark.createDataFrame(

@@ -36,7 +36,7 @@ def test_scan_reports_broken_feeds_and_keeps_the_rest(spark, tmp_path):
 
 
 def test_csv_matches_the_documented_form(spark, tmp_path):
-    row = ["Emami", 'Vedix, "SkinKraft"', "M&A", "₹321 cr", "321", "INR_CRORE", "", "Personal care",
+    row = ["Harrowby", 'Zolvia, "BrightHull"', "M&A", "₹321 cr", "321", "INR_CRORE", "", "Personal care",
            "India", "2026-05-07", "High", "Mint; Inc42", 2, "1", "https://a.com/x"]
     ddl = ", ".join(f"`{c}` {'bigint' if c == 'Source count' else 'string'}"
                     for c in dims.EXPORT_COLUMNS)
@@ -45,7 +45,7 @@ def test_csv_matches_the_documented_form(spark, tmp_path):
     part = next(p for p in (tmp_path / "out").iterdir() if p.suffix == ".csv")
     lines = part.read_text().splitlines()
     assert lines[0] == ",".join(dims.EXPORT_COLUMNS)
-    assert lines[1] == ('Emami,"Vedix, ""SkinKraft""",M&A,₹321 cr,321,INR_CRORE,,Personal care,'
+    assert lines[1] == ('Harrowby,"Zolvia, ""BrightHull""",M&A,₹321 cr,321,INR_CRORE,,Personal care,'
                         "India,2026-05-07,High,Mint; Inc42,2,1,https://a.com/x")
     assert exports.export_path("/x/", F.lit(V.NOW), spark) == "/x/deals-2001-08-02"
 

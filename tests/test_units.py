@@ -16,16 +16,16 @@ from tests import brute
 TS = dt.datetime(2024, 1, 1)
 
 CONTROLS = [  # labelled headline pairs
-    ("SAME", "HUL acquires skincare brand Minimalist for Rs 2,955 crore",
-     "Hindustan Unilever to buy Minimalist in Rs 2,955 crore deal"),
-    ("SAME", "Dabur to acquire 51% stake in Badshah Masala",
-     "CCI clears Dabur acquisition of Badshah Masala"),
-    ("DIFFERENT", "Dabur acquires majority stake in Badshah Masala",
-     "Marico acquires majority stake in Plix"),
-    ("DIFFERENT", "Tata Consumer acquires Capital Foods for Rs 5,100 crore",
-     "Tata Consumer acquires Organic India for Rs 1,900 crore"),
-    ("DIFFERENT", "HUL acquires skincare brand Minimalist for Rs 2,955 crore",
-     "Reliance opens 50 new grocery stores across Maharashtra"),
+    ("SAME", "Northwind buys oat drink label Millet Moon for Rs 310 crore",
+     "Northwind Foods to take over Millet Moon in Rs 310 crore deal"),
+    ("SAME", "Harrowby to pick up 26% stake in Hillside Spices",
+     "Regulator clears Harrowby purchase of Hillside Spices shares"),
+    ("DIFFERENT", "Harrowby picks up majority stake in Hillside Spices",
+     "Ostwind picks up majority stake in Corvane"),
+    ("DIFFERENT", "Brightbrook buys Tin Kettle Foods for Rs 640 crore",
+     "Brightbrook buys Fern Valley Organics for Rs 75 crore"),
+    ("DIFFERENT", "Northwind buys oat drink label Millet Moon for Rs 310 crore",
+     "Lumenfold opens twelve shops on the coast"),
 ]
 
 
@@ -92,13 +92,13 @@ def test_title_ratio_on_controls(spark):
 
 
 def test_distinctive_tokens(spark):
-    got = apply(spark, ["Vedix, SkinKraft parent", "Beverages Major", "Naturis Cosmetics", "A 1",
-                        "L'Oréal"], text.distinctive_tokens)
-    assert got == [["vedix", "skinkraft"], [], ["naturis"], [], ["or", "al"]]
+    got = apply(spark, ["Zolvia, BrightHull parent", "Beverages Major", "Quenta Cosmetics", "A 1",
+                        "D'Éclats"], text.distinctive_tokens)
+    assert got == [["zolvia", "brighthull"], [], ["quenta"], [], ["clats"]]
 
 
 def test_legal_suffixes_can_be_made_generic(spark):
-    df = spark.createDataFrame([("Kestra LLC", "Paradiem LLC")], "a string, b string")
+    df = spark.createDataFrame([("Ironvale LLC", "Mossgate LLC")], "a string, b string")
     shared = df.select(
         text.shares_distinctive_token(F.col("a"), F.col("b")),
         text.shares_distinctive_token(
@@ -168,7 +168,7 @@ def test_model_json(spark):
 
 def test_coerce_deals(spark):
     answers = [
-        ("a", 'ok {"acquirer": " ", "target": "Plix", "deal_value": 5, "currency": "EUR", '
+        ("a", 'ok {"acquirer": " ", "target": "Corvane", "deal_value": 5, "currency": "EUR", '
               '"stake_pct": 140, "region": "", "announced_date": "2024-02-31x"} done'),
         ("b", '{"acquirer": "X", "target": "Y", "deal_type": "JV", "deal_value": "1,200", '
               '"currency": "INR_CRORE", "stake_pct": "51", "category": "Food"}'),
@@ -218,12 +218,12 @@ def test_one_publisher_votes_once(spark):
 
 def test_pre_filter_vocabulary(spark):
     cases = {
-        "Dabur acquires stake in Badshah Masala": True,
-        "Buys 100% stake in Yoga Bar maker, says ITC": True,
-        "First Horizon Corp Purchases 31,583 Shares of Colgate-Palmolive Company": False,
-        "Emami stake lifted by Some Fund": False,
+        "FMCG firm acquires stake in Hillside Spices": True,
+        "Buys 100% stake in Oat Drift maker, says packaged food firm": True,
+        "Acme Fund Purchases 12,045 Shares of Northwind Consumer Company": False,
+        "Northwind stake lifted by Acme Fund": False,
         "Home health firm acquires personal care agency": False,
-        "Dabur opens a plant": False,
+        "FMCG firm opens a plant": False,
         "Kitchen startup raises money": True,  # recall by design: 'itc' inside 'kitchen'
     }
     got = apply(spark, cases, lambda c: cascade.passes_pre_filter(c, F.lit("")))
@@ -231,7 +231,7 @@ def test_pre_filter_vocabulary(spark):
 
 
 def test_publishable(spark):
-    got = apply(spark, ["Undisclosed", "Beverages Major", "X", "Varun Beverages", "Plix"],
+    got = apply(spark, ["Undisclosed", "Beverages Major", "X", "Varun Beverages", "Corvane"],
                 deals.is_publishable)
     assert got == [False, False, False, True, True]
 
