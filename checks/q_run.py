@@ -398,6 +398,57 @@ def digest_articles(spark, sf):
     return articles.select("id", "url", "title").join(origin, "id")
 
 
+_BYTE_SUM = (
+    "list_sum(list_transform(range(1, strlen(w) * 2, 2), "
+    "lambda i: CAST('0x' || substr(hex(encode(w)), i, 2) AS INTEGER)))"
+)
+_STRIPPED = S.strip_html(S.strip_html("snippet"))
+#: The whole run's stories in SQL: articles, both kinds of links, components, canonical articles.
+_STORIES = [
+    f"""arts AS (SELECT id, arg_min(trim(title), published_at) AS title, min(published_at) AS published_at,
+      arg_min({_STRIPPED}, published_at) AS snippet FROM articles_v GROUP BY id)""",
+    f"named AS (SELECT id, {S.norm_title('title')} AS norm FROM arts)",
+    """wordlist AS (SELECT id, unnest(list_filter(regexp_split_to_array(
+      lower(left(title || '. ' || snippet, 512)), '\\s+'), lambda x: x <> '')) AS w FROM arts)""",
+    f"bins AS (SELECT id, {_BYTE_SUM} * 31 % 61 AS bin, count(*)::DOUBLE AS c FROM wordlist GROUP BY 1, 2)",
+    "norms AS (SELECT id, sqrt(sum(c * c) + 0.01) AS norm FROM bins GROUP BY 1)",
+    """near AS (SELECT x.id AS a, y.id AS b FROM bins x JOIN bins y ON x.bin = y.bin AND x.id < y.id
+      JOIN norms n ON n.id = x.id JOIN norms m ON m.id = y.id
+      GROUP BY x.id, y.id, n.norm, m.norm HAVING (sum(x.c * y.c) + 0.01) / (n.norm * m.norm) >= 0.97)""",
+    f"""same_title AS (SELECT x.id AS a, y.id AS b FROM named x JOIN named y ON x.id < y.id
+      WHERE {S.title_ratio('x.norm', 'y.norm')} >= {dims.TITLE_MATCH_RATIO})""",
+    *S.components("SELECT id FROM arts", "SELECT a, b FROM near UNION ALL SELECT a, b FROM same_title"),
+    "placed AS (SELECT arts.*, component FROM arts JOIN comp ON comp.node = arts.id)",
+    "canon AS (SELECT component, arg_min(id, published_at) AS cluster_id FROM placed GROUP BY 1)",
+]
+
+
+@query("digest_story_membership", S.with_views("articles_v", recursive=True, extra=_STORIES, body="""
+    SELECT id AS article_id, cluster_id FROM placed JOIN canon USING (component)"""))
+def digest_story_membership(spark, sf):
+    """The stories of a whole run: near embeddings or near titles, named by their first article."""
+    return whole_run(spark, sf).tables["story_membership"].select("article_id", "cluster_id")
+
+
+@query("digest_funnel", S.with_views("articles_v", recursive=True, extra=_STORIES, body=r"""
+    SELECT (SELECT count(*) FROM articles_v) AS ingested, count(*) AS deduped,
+      CAST(count_if(pre) AS BIGINT) AS pre_filtered, CAST(count_if(short AND said) AS BIGINT) AS classified,
+      CAST(count_if(short AND NOT said) AS BIGINT) AS unanswered,
+      CAST(count_if(short AND said AND length(snippet) % 2 = 0) AS BIGINT) AS relevant
+    FROM (SELECT *, pre AND (length(title) % 7 = 0 OR length(title) % 3 <> 0) AS short,
+        length(snippet) % 11 <> 0 AS said
+      FROM (SELECT title, snippet, regexp_matches(title || ' ' || snippet, '(?i)\bthe\b')
+          AND regexp_matches(title || ' ' || snippet, '(?i)\bof\b') AS pre
+        FROM placed JOIN canon ON id = cluster_id))"""))
+def digest_funnel(spark, sf):
+    """The whole run's funnel and relevance statistics, up to the relevant articles."""
+    run = whole_run(spark, sf)
+    one = F.lit(1)
+    stats = run.diagnostics["relevance"].select("pre_filtered", "classified", "unanswered", one.alias("_one"))
+    return run.tables["funnel"].select("ingested", "deduped", "relevant", one.alias("_one")).join(
+        stats, "_one").drop("_one")
+
+
 @query("export_json_roundtrip")
 def export_json_roundtrip(spark, sf):
     """The snapshot of a whole run, written as JSON and read back: deals with their evidence."""
