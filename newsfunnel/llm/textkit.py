@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsfunnel.session import cut_lineage, ship_package
 
-CHUNK_BYTES = 2_000_000  # text handled at once by the vectorised kernels
+CHUNK_BYTES = 1_000_000  # text handled at once by the vectorised kernels
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from checks.run import TABLES, canonical
@@ -54,6 +55,23 @@ def test_stages_keep_clean_documents_and_take_their_decisions(spark, tmp_path):
     assert kept["packing"] == kept["decontamination"]
 
 
+def test_clashing_columns_and_repeated_rows(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    names = ["keep", "cut", "n_hit", "row", "p_junk", "spans", "count", "component_id", "lot", "bin", "doc"]
+    current = docs.union(docs.limit(20))
+    for n in names:
+        current = current.withColumn(n, F.lit("mine"))
+    for name, step in corpus_pipeline.STAGES:
+        out = step(spark, current, SF)
+        if name != "packing":
+            assert out.columns == [*COLUMNS, *names]
+        out.write.parquet(str(tmp_path / name))
+        current = spark.read.parquet(str(tmp_path / name))
+        if name != "packing":
+            assert all(r[n] == "mine" for r in current.collect() for n in names)
+    assert current.count() > 0
+
+
 def test_empty_documents_go_through(spark, tmp_path):
     current = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, step in corpus_pipeline.STAGES:
