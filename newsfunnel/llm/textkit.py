@@ -44,6 +44,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return cut_lineage(df, label)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A stored table of narrow rows, to be broadcast if it has no more than `rows` rows; else it is
+    joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def hash_sample(df: DataFrame, salt: str, rows: int, total: int) -> DataFrame:
     """At most `rows` rows of `df` (of `total`), chosen by the hash of doc_id. A hash threshold
     leaves about twice as many before they are sorted, so no task gathers more than that."""
