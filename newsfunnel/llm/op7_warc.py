@@ -2,7 +2,7 @@
 
 Writing: a payload larger than a chunk becomes a first record and `continuation` records (the
 format's own segments), so no record and no row is larger than a chunk. Each chunk row carries
-the running digest of its payload. Rows are written as plain WARC files by Spark's text writer:
+the running digest of its payload. Rows are written as WARC files, gzipped, by Spark's text writer:
 one row is one record, the record separator is the line separator.
 
 Reading: files are bounded in size; each is parsed by record lengths as a stream of chunk rows
@@ -20,6 +20,7 @@ repeat a page id are stored each; an empty table gives no rows; extra columns ar
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 
@@ -146,7 +147,7 @@ def write_archives(pages: DataFrame, path: str, chunk: int = CHUNK, file_bytes:
     placed = with_references(narrow, min_bytes, files)
     records = map_arrow(placed.select("page_id", "url", "html", "refers_to"), lambda it: _write_rows(it, chunk),
                         "page string, chunk int, digest string, value string")
-    records.select("value").write.option("lineSep", "\r\n\r\n").text(path)
+    records.select("value").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def parse_records(buffer: memoryview):
@@ -215,7 +216,8 @@ def _chunk_rows(raw: bytes):
 def _read_rows(batches):
     for batch in batches:
         for content in batch.column(0):
-            rows = list(_chunk_rows(content.as_py()))
+            raw = content.as_py()
+            rows = list(_chunk_rows(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_CHUNK)], schema=_CHUNK)
 
