@@ -8,7 +8,7 @@ import pytest
 
 from newsfunnel.llm.op1_ngram_join import jaccard_components
 from newsfunnel.llm.op9_substring import (
-    align, blocks_of, chains_of, extent, passage_spans, repeated_passages, winnow, without_copies,
+    align, blocks_of, chains_of, extent, passage_spans, repeated_passages, segments, winnow, without_copies,
 )
 from newsfunnel.llm.shingles import prefix_length
 
@@ -155,3 +155,38 @@ def test_passages_of_empty_and_all_copied_tables(spark):
     spans = passage_spans(repeated_passages(df))
     assert {(r["doc_id"], r["copy"]) for r in spans.collect()} == {(1, False), (2, True), (2, False), (3, True)}
     assert [r["doc_id"] for r in without_copies(df, spans).collect()] == [1]
+
+
+def found_of(spark, texts):
+    df = spark.createDataFrame(rows_of(texts), SCHEMA)
+    return {(r["doc_id"], r["start_word"], r["end_word"], r["copy"]) for r in passage_spans(repeated_passages(df)).collect()}
+
+
+def test_two_passages_of_one_chain_are_both_found(spark):
+    rng = random.Random(8)
+    texts, want = [], set()
+    for n, (size, gap) in enumerate([(60, 50), (60, 100), (60, 200), (300, 300)]):
+        first, second = words(rng, size, 10**9), words(rng, size, 10**9)
+        for i in (2 * n, 2 * n + 1):
+            texts.append((i, " ".join(first + words(rng, gap, 10**9) + second)))
+            want |= {(i, 0, size, i % 2 == 1), (i, size + gap, 2 * size + gap, i % 2 == 1)}
+    assert found_of(spark, texts) == want
+
+
+def test_segments_leave_no_passage_out():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        equal = np.concatenate([rng.random(rng.integers(5, 60)) < rng.choice([0.2, 0.7, 0.85, 1.0]) for _ in range(4)])
+        dx, dy = rng.random((2, len(equal))) < 0.95
+        dy |= ~dx
+        equal &= dx & dy
+        got = segments(dx, dy, equal, 30, 0.8)
+        used = np.zeros(len(equal), dtype=bool)
+        for a, b in got:
+            n, m = dx[a:b].sum(), dy[a:b].sum()
+            assert n >= 30 and equal[a:b].sum() >= 0.8 * max(n, m) - 1e-6 and not used[a:b].any()
+            used[a:b] = True
+        for a in np.flatnonzero(equal):  # counted by columns, every range that is a passage meets a found one
+            for b in np.flatnonzero(equal) + 1:
+                if b > a and dx[a:b].sum() >= 30 and equal[a:b].sum() >= 0.8 * (b - a):
+                    assert used[a:b].any()
