@@ -190,3 +190,18 @@ def test_segments_leave_no_passage_out():
             for b in np.flatnonzero(equal) + 1:
                 if b > a and dx[a:b].sum() >= 30 and equal[a:b].sum() >= 0.8 * (b - a):
                     assert used[a:b].any()
+
+
+def test_every_place_of_a_passage_and_the_whole_of_repeated_text(spark):
+    rng = random.Random(9)
+    passage, unit, short = words(rng, 60, 10**9), words(rng, 31, 10**9), words(rng, 9, 10**9)
+    twice = words(rng, 40, 10**9) + passage + words(rng, 100, 10**9) + passage + words(rng, 30, 10**9)
+    texts = [(1, " ".join(passage)), (2, " ".join(twice))]
+    texts += [(n, " ".join(unit * 100)) for n in (3, 4)]
+    texts += [(n, " ".join(short * 50)) for n in (5, 6)]
+    texts += [(7, " ".join(words(rng, 20, 10**9) + unit * 5)), (8, " ".join(unit * 2))]
+    got = found_of(spark, texts)
+    assert {r for r in got if r[0] == 2} == {(2, 40, 100, True), (2, 200, 260, True)}
+    assert {r for r in got if r[0] in (3, 4)} == {(3, 0, 3100, False), (4, 0, 3100, True), (4, 0, 3100, False)}
+    assert {r for r in got if r[0] in (5, 6)} == {(5, 0, 450, False), (6, 0, 450, True)}
+    assert (7, 20, 175, True) in got and (8, 0, 62, True) in got
