@@ -205,3 +205,14 @@ def test_every_place_of_a_passage_and_the_whole_of_repeated_text(spark):
     assert {r for r in got if r[0] in (3, 4)} == {(3, 0, 3100, False), (4, 0, 3100, True), (4, 0, 3100, False)}
     assert {r for r in got if r[0] in (5, 6)} == {(5, 0, 450, False), (6, 0, 450, True)}
     assert (7, 20, 175, True) in got and (8, 0, 62, True) in got
+
+
+def test_fragments_in_other_documents_take_no_partner(spark):
+    rng = random.Random(10)
+    texts, want = [], set()
+    for n in range(6):
+        passage = words(rng, 60, 10**9)
+        for i, p in enumerate([passage[:40], passage[20:], passage, passage, passage[:40], passage[20:]]):
+            texts.append((10 * n + i, " ".join(words(rng, 30, 10**9) + p + words(rng, 30, 10**9))))
+        want |= {(10 * n + 2, 30, 90, False), (10 * n + 3, 30, 90, True)}
+    assert found_of(spark, texts) == want
