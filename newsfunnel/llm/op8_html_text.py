@@ -2,7 +2,10 @@
 
 A page is a sequence of words and tags. Every token has a weight: words mostly positive, tags
 mostly negative. A linear scan (Kadane) finds the contiguous region with the greatest sum; blocks
-inside it that are not content (menus, adverts, notices, forms, comments) are left out.
+inside it that are not content (menus, adverts, notices, forms, comments) are left out. A class, id or
+role says so only if it names the element, not what the element has or lacks, and not if the elements
+of that name hold most of the page's text (of its article's, if it marks one); nor if the page's only
+marked article is inside and they hold more than stands outside all chrome.
 
 Weights are learned from labelled pages: those that mark their article themselves (an `article`
 or `main` element). Per token kind (tag, or word within an element of some kind) the counts inside
@@ -70,20 +73,30 @@ _CHROME_SET = frozenset(CHROME_NAMES)
 _CHROME_TAGS = frozenset(CHROME)
 
 
+#: Names that begin so tell what an element has or lacks; a header of these is its headline.
+_MODIFIERS = frozenset(("with", "without", "has", "have", "no", "not", "non", "hide", "show"))
+_HEADED = frozenset(("entry", "post", "article", "story", "content"))
+
+
 def _is_chrome(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in _CHROME_TAGS and not (tag == "header" and inside_article):
-        return True
-    if not attributes:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    if tag in ("body", "html", "main"):
-        return False
+    """By the element itself; names are judged by `_names`."""
+    return (tag in _CHROME_TAGS and not (tag == "header" and inside_article)) or bool(attributes and _HIDDEN.search(attributes))
+
+
+def _names(tag: str, attributes: str, inside_article: bool) -> list[tuple[str, bool]]:
+    """Names (class, id, role) that mean chrome, and whether the name is the word alone."""
+    if not attributes or tag in ("body", "html", "main"):
+        return []
+    out = []
     for m in _ATTRIBUTE.finditer(attributes):
-        value = m[2] or m[3] or m[4] or ""
-        if any(p.lower() in _CHROME_SET for p in _NAME_PART.findall(value)):
-            return True
-    return False
+        for name in (m[2] or m[3] or m[4] or "").split():
+            parts = [p.lower() for p in _NAME_PART.findall(name)]
+            if not _MODIFIERS.isdisjoint(parts[:-1]):
+                continue
+            found = _CHROME_SET.intersection(parts)
+            if found and not (found == {"header"} and (inside_article or not _HEADED.isdisjoint(parts))):
+                out.append((name, len(parts) == 1))
+    return out
 
 
 def kind_of(tag: str, chrome: bool) -> str:
@@ -106,16 +119,52 @@ def kind_of(tag: str, chrome: bool) -> str:
     return "other"
 
 
+class _Names:
+    """How many words stand below each chrome name: of the page, and of its marked article."""
+
+    def __init__(self):
+        self.total, self.held = [0, 0], ({}, {})
+        self.plain = 0  # words of the page outside all chrome
+        self.alone: dict[str, bool] = {}
+        self.around: set[str] = set()  # names with a marked article below them
+        self.marked = False  # an article stands outside all chrome
+
+    def wrong(self) -> set[str]:
+        of = int(self.marked)
+        return {name for name, n in self.held[of].items() if (2 * n > self.total[of] and not self.alone[name])
+                or (not self.marked and name in self.around and n > self.plain)}
+
+
 def tokens_of(page: str) -> list[tuple[str, str, bool, bool]]:
     """(kind, text, inside a marked article, text is chrome) in page order; a tag has text "".
 
     Kinds of text are WORDS. A tag that does not end its block has kind inline or link."""
+    not_chrome: set[str] = set()
+    while True:
+        out, names = _scan(page, not_chrome)
+        wrong = names.wrong() - not_chrome
+        if not wrong:
+            return out
+        not_chrome |= wrong  # each turn adds a name of the page
+
+
+def _scan(page: str, not_chrome: set[str]) -> tuple[list[tuple[str, str, bool, bool]], _Names]:
     out: list[tuple[str, str, bool, bool]] = []
     stack: list[tuple[str, bool]] = []  # (tag, chrome)
-    chrome = articles = 0
+    below: list[tuple[int, list[str], bool]] = []  # elements with chrome names: depth, names, in an article
+    tally = _Names()
+    chrome = articles = sure = 0  # sure: chrome by the element itself
+    by_itself: list[int] = []
 
     def text(raw: str) -> None:
         if raw:
+            if not sure:
+                n = len(raw.split())
+                tally.plain += 0 if chrome else n
+                for of in ((0, 1) if articles else (0,)):
+                    tally.total[of] += n
+                    for name in {x for _, names, inside in below if inside or not of for x in names}:
+                        tally.held[of][name] = tally.held[of].get(name, 0) + n
             tags = [t for t, _ in stack]
             if chrome:
                 kind = "word_chrome"
@@ -128,9 +177,14 @@ def tokens_of(page: str) -> list[tuple[str, str, bool, bool]]:
             out.append((kind, entities.unescape(raw), articles > 0, chrome > 0))
 
     def pop_to(depth: int) -> None:
-        nonlocal chrome, articles
+        nonlocal chrome, articles, sure
         while len(stack) > depth:
             tag, was = stack.pop()
+            if below and below[-1][0] == len(stack):
+                below.pop()
+            if by_itself and by_itself[-1] == len(stack):
+                by_itself.pop()
+                sure -= 1
             chrome -= was
             articles -= tag in ARTICLE and not was
 
@@ -166,13 +220,24 @@ def tokens_of(page: str) -> list[tuple[str, str, bool, bool]]:
                 if stack[i][0] in same:
                     pop_to(i)
                     break
-        was = _is_chrome(tag, attributes, articles > 0)
+        itself = _is_chrome(tag, attributes, articles > 0)
+        names = [(x, alone) for x, alone in _names(tag, attributes, articles > 0) if x not in not_chrome]
+        was = itself or bool(names)
         if tag in RAW:
             end = _RAW_END[tag].search(page, at)
             at = end.end() if end else size
             out.append((kind_of(tag, chrome > 0), "", articles > 0, chrome > 0))
             continue
         if tag not in VOID and not attributes.endswith("/"):
+            if itself:
+                by_itself.append(len(stack))
+                sure += 1
+            elif names:
+                below.append((len(stack), [x for x, _ in names], articles > 0))
+                tally.alone |= names
+            if tag in ARTICLE and not sure:
+                tally.marked |= not (chrome or was)
+                tally.around.update(x for _, open_names, _ in below for x in open_names)
             stack.append((tag, was))
             chrome += was
             articles += tag in ARTICLE and not was
@@ -180,7 +245,7 @@ def tokens_of(page: str) -> list[tuple[str, str, bool, bool]]:
             text(" ")  # white space within its block
         else:
             out.append((kind_of(tag, was or chrome > 0), "", articles > 0, was or chrome > 0))
-    return out
+    return out, tally
 
 
 def best_region(scores: np.ndarray) -> tuple[int, int]:

@@ -219,3 +219,21 @@ def test_pages_of_the_test_data(spark):
         blocks = [" ".join(entities.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
         assert got[r["page_id"]]["text"] == "\n".join(b for b in blocks if b)
     assert pages.extract_pages(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("shell", [
+    ("<div class='page with-sidebar'>", "</div>"), ("<div id=content class=no-sidebar>", "</div>"),
+    ("<article class=has-related>", "</article>"), ("<div class=right-sidebar><article>", "</article></div>"),
+    ("<div class=overlay><article>", "</article></div>")])
+def test_names_of_what_an_element_has_do_not_drop_the_article(shell):
+    assert pages.extract(PAGE.format(open=shell[0], close=shell[1]), pages.DEFAULT) == TEXT
+
+
+def test_wrapped_blocks_and_headlines_stay():
+    wrap = "<div class=elementor-widget-container><p>{}</p></div>"
+    blocks = [f"block {i} with a few plain words of text" for i in range(5)]
+    body = "".join(wrap.format(b) for b in blocks) + "<div class=sidebar>one or two words aside</div>"
+    for begin, end in (("<div>", "</div>"), ("<article>", "</article>")):
+        assert pages.extract(begin + body + end, pages.DEFAULT) == "\n".join(blocks)
+        head = begin + "<div class=entry-header><h1>The headline</h1></div><p>" + blocks[0] + "</p>" + end
+        assert pages.extract(head, pages.DEFAULT) == "The headline\n" + blocks[0]
