@@ -116,6 +116,26 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
         i = j
 
 
+def slices(column: pa.Array, is_break: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, Chunk]]:
+    """`chunks`, with rows of more than twice `size` cut after bytes of the class `is_break`, so that
+    a very long text takes no more memory than others: (row of the column per part, parts)."""
+    for chunk in chunks(column, size):
+        if chunk.rows > 1 or len(chunk.data) <= 2 * size:
+            yield chunk.first + np.arange(chunk.rows), chunk
+            continue
+        at, end, row = 0, len(chunk.data), np.array([chunk.first])
+        while at < end:
+            stop = min(at + size, end)
+            while stop < end:
+                ahead = np.flatnonzero(is_break[chunk.data[stop:stop + 65536]])
+                stop = min(end, stop + (int(ahead[0]) + 1 if len(ahead) else 65536))
+                if len(ahead):
+                    break
+            part = chunk.data[at:stop]
+            yield row, Chunk(chunk.first, part, np.array([0, len(part)], dtype=np.int64))
+            at = stop
+
+
 def words(low: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, splits): byte ranges of all words; row r has words splits[r]..splits[r+1]-1."""
     if len(low) == 0:
