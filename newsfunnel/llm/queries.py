@@ -14,13 +14,16 @@ from newsfunnel.llm.op7_warc import op7_warc
 from newsfunnel.llm.op8_html_text import op8_html_text
 from newsfunnel.llm.op9_substring import op9_substring
 from newsfunnel.llm.op10_packing import op10_packing
+from newsfunnel.llm import op11_sharding as op11, op12_phrases as op12, op13_search as op13
 
 _QUERIES = [
     op1.op1_ngram_join, op2.op2_decontaminate, op3.op3_url_filter, op4_quality_classifier,
     op5_quality_rules, op6_language, op7_warc, op8_html_text, op9_substring, op10_packing,
+    op11.op11_sharding, op12.op12_phrases, op13.op13_search,
 ]
 _ORACLES: dict[str, str] = {
     "op1_ngram_join": op1.SQL, "op2_decontaminate": op2.SQL, "op3_url_filter": op3.SQL,
+    "op11_sharding": op11.SQL, "op12_phrases": op12.SQL, "op13_search": op13.SQL,
 }
 
 
