@@ -39,8 +39,8 @@ MIN_COUNT = 30
 BEST = 2000
 WITHIN = 80  # percent of its occurrences that a longer phrase must hold to replace a phrase
 BURST = 4096  # keys of a container
-MAX_KEYS = 1_000_000  # keys of a task's trie
-MAX_WORDS_HELD = 400_000  # distinct words a task counts before it passes them on
+MAX_KEYS = 400_000  # keys of a task's trie
+MAX_WORDS_HELD = 150_000  # distinct words a task counts before it passes them on
 PARTITION_BYTES = 24 << 20  # of text per prefix partition
 RUN_KEYS = 16_384  # keys of one row of a run
 BITS = 27  # of the largest bit table: 16 MB

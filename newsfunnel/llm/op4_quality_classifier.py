@@ -9,7 +9,7 @@ endings, repetition), by follow-the-regularised-leader. The scorer alone judges
 
 Defined results: null, empty and wordless texts are rejected as junk with score 1; null ids keep
 their row and teach nothing; several label rows of a document count as its worst; repeated rows
-are judged one by one; an empty table gives no rows; without any label or vote nothing is rejected
+are judged one by one, and those of one id and text teach once; an empty table gives no rows; without any label or vote nothing is rejected
 but wordless texts; extra columns are ignored.
 """
 
@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsfunnel.llm.textkit import (
-    NOT_SPACE, chunks, gram_hashes, hash_sample, list_array, map_arrow, mix, range_hashes, stage, table, words,
+    NOT_SPACE, chunks, gram_hashes, hash_sample, list_array, map_arrow, mix, range_hashes, row_key, stage, table, words,
 )
+from newsfunnel.session import ship_package
 
 BITS = 20
 TRAIN_ROWS = 8000  # bound of the sample for each question; half yes, half no where there are enough
@@ -117,7 +118,7 @@ def _vote_rows(batches, insults: tuple[str, ...]):
             batch.column(0),
             list_array(np.array(junk, dtype=np.int32).ravel(), np.arange(n + 1) * (len(CUTS) + 1), pa.int32()),
             list_array(np.array(abuse, dtype=np.int32).ravel(), np.arange(n + 1), pa.int32()),
-        ], names=["doc_id", "junk", "abuse"])
+        ], names=["row", "junk", "abuse"])
 
 
 def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
@@ -226,19 +227,17 @@ def _train(batches):
     ], names=["task", "used", "w"])
 
 
-def _score_rows(batches, shared):
-    models = shared.value
-    for batch in batches:
-        scores: list[list[float]] = [[], []]
-        for chunk in chunks(batch.column(1)):
-            for f in feature_rows(chunk):
-                for out, w in zip(scores, models):
-                    if len(f) == 0:
-                        out.append(1.0 if out is scores[0] else 0.0)
-                    else:
-                        out.append(float(1 / (1 + np.exp(-np.clip(w[f].sum() + w[-1], -40, 40)))))
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:1], *(pa.array(s, pa.float64()) for s in scores)], names=["row", "p_junk", "p_abuse"])
+def _scores(texts: pa.Array, models) -> pa.Array:
+    """(junk, abuse) of every text."""
+    scores: list[list[float]] = [[], []]
+    for chunk in chunks(texts):
+        for f in feature_rows(chunk):
+            for out, w in zip(scores, models):
+                if len(f) == 0:
+                    out.append(1.0 if out is scores[0] else 0.0)
+                else:
+                    out.append(float(1 / (1 + np.exp(-np.clip(w[f].sum() + w[-1], -40, 40)))))
+    return pa.StructArray.from_arrays([pa.array(s, pa.float64()) for s in scores], names=["junk", "abuse"])
 
 
 def _posteriors(patterns: DataFrame, prior: float) -> list[tuple[list[int], float, int]]:
@@ -251,17 +250,23 @@ def _posteriors(patterns: DataFrame, prior: float) -> list[tuple[list[int], floa
     return [(r["votes"], float(p), r["n"]) for r, p in zip(rows, post)]
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, insults: tuple[str, ...] = INSULTS):
+def train(
+    docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, insults: tuple[str, ...] = INSULTS,
+    id_col: str = "doc_id", text_col: str = "text",
+):
     """Broadcast pair of weight arrays: junk, abuse."""
     spark = docs.sparkSession
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    votes = map_arrow(narrow, lambda it: _vote_rows(it, insults), "doc_id long, junk array<int>, abuse array<int>")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    keyed = narrow.select(F.struct("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key")).alias("row"), "text")
+    votes = map_arrow(
+        keyed, lambda it: _vote_rows(it, insults),
+        "row struct<doc_id:long,key:long>, junk array<int>, abuse array<int>").select("row.*", "junk", "abuse")
     given = labels.filter("doc_id is not null").groupBy("doc_id").agg(
         F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     said = lambda c, yes: F.when(F.col(c).isNull(), 0).when(F.col(c) == yes, 1).otherwise(-1)
     votes = stage(
         votes.filter("doc_id is not null").join(given, "doc_id", "left").select(
-            "doc_id", F.concat("junk", F.array(said("quality", 0))).alias("junk"),
+            "key", F.concat("junk", F.array(said("quality", 0))).alias("junk"),
             F.concat("abuse", F.array(said("toxic", 1))).alias("abuse")), "votes")
     picked = []
     for task, (name, prior) in enumerate((("junk", 0.1), ("abuse", 0.1))):
@@ -277,7 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, insu
             probability = F.create_map(*[F.lit(x) for v, p in mine for x in (",".join(map(str, v)), p)])
             key = F.array_join(F.col(name).cast("array<string>"), ",")
             known_rows = votes.select(
-                "doc_id", F.lit(task).alias("task"), F.try_element_at(probability, key).alias("y")).filter("y is not null")
+                "key", F.lit(task).alias("task"), F.try_element_at(probability, key).alias("y")).filter("y is not null")
             picked.append(hash_sample(known_rows, f"{name}{side}", train_rows // 2, total))
     if not picked:
         weights = np.append(np.zeros(1 << BITS, dtype=np.float32), np.float32(-3.0))
@@ -286,8 +291,10 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, insu
     for more in picked[1:]:
         sample = sample.unionByName(more)
     sample = stage(sample, "sample")
-    # The sample's size is a parameter, so it may be broadcast.
-    text = narrow.join(F.broadcast(sample), "doc_id").select("task", "text", "y")
+    # The sample's size is a parameter, so it may be broadcast. Of repeated rows one is taken, whatever
+    # their number: they are folded where they are read.
+    text = narrow.withColumn("key", row_key(F.col("doc_id"), F.col("text"))).join(F.broadcast(sample), "key").groupBy(
+        "key", "task").agg(F.first("text").alias("text"), F.first("y").alias("y")).select("task", "text", "y")
     features = map_arrow(text, _feature_batches, "task int, y double, f array<int>")
     rows = map_arrow(features.repartition(1), _train, "task int, used binary, w binary").collect()
     models = [np.zeros((1 << BITS) + 1, dtype=np.float32) for _ in range(2)]
@@ -298,17 +305,16 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, insu
 
 def classify(
     docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, reject_junk: float = REJECT_JUNK,
-    reject_abuse: float = REJECT_ABUSE,
+    reject_abuse: float = REJECT_ABUSE, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """`docs` with p_junk, p_abuse and keep."""
-    model = train(docs, labels, train_rows)
+    """`docs` with p_junk, p_abuse and keep. Only the texts go to Python, once; rows stay where they are."""
+    model = train(docs, labels, train_rows, id_col=id_col, text_col=text_col)
+    ship_package(docs.sparkSession)
+    score = F.arrow_udf(lambda texts: _scores(texts, model.value), "struct<junk:double,abuse:double>").asNondeterministic()
     names = [c for c in docs.columns if c not in ("p_junk", "p_abuse", "keep")]
-    packed = docs.select(F.struct(*names).alias("row"), F.col("text").cast("string").alias("text"))
-    scored = map_arrow(
-        packed, lambda it: _score_rows(it, model),
-        f"row {packed.schema['row'].dataType.simpleString()}, p_junk double, p_abuse double")
-    return scored.select(
-        "row.*", "p_junk", "p_abuse", F.expr(f"p_junk < {reject_junk} and p_abuse < {reject_abuse}").alias("keep"))
+    return docs.select(*names, score(F.col(text_col).cast("string")).alias("p_junk")).select(
+        *names, F.col("p_junk.junk").alias("p_junk"), F.col("p_junk.abuse").alias("p_abuse"),
+        ((F.col("p_junk.junk") < reject_junk) & (F.col("p_junk.abuse") < reject_abuse)).alias("keep"))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

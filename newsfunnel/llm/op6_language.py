@@ -19,14 +19,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from newsfunnel.llm.textkit import hash_sample, list_array, map_arrow, stage, table
+from newsfunnel.llm.textkit import list_array, map_arrow, row_key, stage, table
 
 ORDERS = (1, 2, 3)
 BITS = 16
-TRAIN_ROWS = 3000  # bound of the sample that trains the weights
-CALIBRATE_ROWS = 1500  # bound of the sample that sets the temperature
+TRAIN_ROWS = 3000  # bound of the sample that trains the weights, an equal share for each language
+CALIBRATE_ROWS = 1500  # bound of the sample that sets the temperature, likewise
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.02
 SCALE = 30.0  # n-gram shares are small numbers
@@ -198,6 +198,21 @@ def _predict(batches, model, labels: list[str]):
             names=["doc_id", "held_out", "lang_pred", "score"])
 
 
+def _sample_each(rows: DataFrame, sizes, share: dict[bool, int]) -> DataFrame:
+    """Keys of both samples: of every language at most its `share` of each, chosen by hash, so rare
+    languages are learnt too. A threshold for each leaves about twice as many before they are sorted."""
+    kind = F.struct("lang", "calibrates")
+    limit = F.coalesce(*[
+        F.when((F.col("lang") == r["lang"]) & (F.col("calibrates") == r["calibrates"]),
+               F.lit(min(1 << 30, int(2 * share[r["calibrates"]] / r["count"] * (1 << 30)) + 1)))
+        for r in sizes])
+    h = F.xxhash64(F.lit("sample"), "key")
+    some = rows.filter(F.pmod(h, F.lit(1 << 30)) < limit).dropDuplicates(["key"])
+    place = F.row_number().over(Window.partitionBy(kind).orderBy(h, "key"))
+    wanted = F.when(F.col("calibrates"), share[True]).otherwise(share[False])
+    return some.withColumn("place", place).filter(F.col("place") <= wanted).select("key")
+
+
 def identify_languages(
     docs: DataFrame, train_rows: int = TRAIN_ROWS, calibrate_rows: int = CALIBRATE_ROWS,
 ) -> DataFrame:
@@ -225,13 +240,14 @@ def identify_languages(
             df[r["bucket"]] = r["n"]
     idf = np.log((1 + total) / (1 + df)) + 1
     number = F.array_position(F.lit(labels), F.col("lang")).cast("int") - 1
-    ids = learn.select("doc_id", "fold")
-    chosen = stage(hash_sample(ids.filter("fold != 3"), "train", train_rows, sum(r["count"] for r in sizes if not r["calibrates"]))
-                   .unionByName(hash_sample(ids.filter("fold = 3"), "calibrate", calibrate_rows,
-                                            sum(r["count"] for r in sizes if r["calibrates"]))), "chosen")
-    # The samples' sizes are parameters, so their ids may be broadcast.
-    sample = learn.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").select(
-        "text", number.alias("cls"), F.col("fold").cast("int").alias("fold"))
+    learn = learn.withColumn("key", row_key(F.col("doc_id"), F.col("text"))).withColumn("calibrates", F.col("fold") == 3)
+    share = {False: -(-train_rows // len(labels)), True: -(-calibrate_rows // len(labels))}
+    chosen = stage(_sample_each(learn.select("key", "lang", "calibrates"), sizes, share), "chosen")
+    # The samples' sizes are parameters, so their keys may be broadcast. Repeated rows are folded
+    # where they are read.
+    sample = learn.join(F.broadcast(chosen), "key", "left_semi").groupBy("key").agg(
+        F.first("text").alias("text"), F.first(number).alias("cls"), F.first(F.col("fold").cast("int")).alias("fold")
+    ).drop("key")
     features = map_arrow(
         sample, _features, "cls int, fold int, buckets array<int>, shares array<double>")
     # The bounded sample meets in one task.

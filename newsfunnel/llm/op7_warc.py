@@ -14,7 +14,7 @@ others are revisit records that refer to it.
 
 Defined results: null html is the empty payload, equal to other empty ones; a null URL has no
 target header; null page ids are stored under the id "null" and read back as null; rows that
-repeat a page id are stored each; an empty table gives no rows; extra columns are ignored.
+repeat a page id are stored each, and refer by their own payload; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -122,20 +122,19 @@ def _write_rows(batches, chunk: int):
 
 def with_references(pages: DataFrame, min_bytes: int, files: int) -> DataFrame:
     """`pages` (page_id, url, html) with `refers_to`: the page id of the equal payload's response."""
+    sha = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
     digests = stage(
-        pages.select("page_id", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("sha"),
-                     F.octet_length(F.coalesce("html", F.lit(""))).alias("size")), "digests")
+        pages.select("page_id", sha.alias("sha"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size")), "digests")
     # Groups of two or more only: most pages are alone and need no reference.
     groups = digests.filter(F.col("size") >= min_bytes).groupBy("sha", "size").agg(
         F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).filter("n > 1 and response is not null")
     revisits = stage(
         digests.join(groups, ["sha", "size"]).filter("page_id != response")
-        .select(F.col("page_id").cast("string").alias("key"), F.col("response").alias("refers_to")).distinct(), "revisits")
-    # One shuffle places the pages in their files and meets the references. Pages without an id
-    # are spread by their content.
-    key = F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("null "), F.xxhash64("url", "html")))
-    return pages.withColumn("key", key).repartition(files, "key").join(
-        revisits.repartition(files, "key"), "key", "left").drop("key")
+        .select("page_id", "sha", F.col("response").alias("refers_to")).distinct(), "revisits")
+    # One shuffle places the pages in their files and meets the references, by id and payload: rows
+    # may repeat an id with another payload. Pages without an id have no reference.
+    return pages.withColumn("sha", sha).repartition(files, "page_id", "sha").join(
+        revisits.repartition(files, "page_id", "sha"), ["page_id", "sha"], "left").drop("sha")
 
 
 def write_archives(pages: DataFrame, path: str, chunk: int = CHUNK, file_bytes: int = FILE_BYTES,

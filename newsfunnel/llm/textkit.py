@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsfunnel.session import cut_lineage, ship_package
 
@@ -50,14 +50,19 @@ def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def hash_sample(df: DataFrame, salt: str, rows: int, total: int) -> DataFrame:
-    """At most `rows` rows of `df` (of `total`), chosen by the hash of doc_id. A hash threshold
-    leaves about twice as many before they are sorted, so no task gathers more than that."""
-    h = F.xxhash64(F.lit(salt), "doc_id")
+def hash_sample(df: DataFrame, salt: str, rows: int, total: int, key: str = "key") -> DataFrame:
+    """At most `rows` rows of `df` (of `total`), one of each `key`, chosen by its hash. A hash
+    threshold leaves about twice as many keys before they are sorted, so no task gathers more."""
+    h = F.xxhash64(F.lit(salt), key)
     share = 2 * rows / max(1, total)
     if share < 1:
         df = df.filter(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    return df.orderBy(h, "doc_id").limit(rows)
+    return df.dropDuplicates([key]).orderBy(h, key).limit(rows)
+
+
+def row_key(id_col: Column, text: Column) -> Column:
+    """One number for all rows of one id and text, so that repeated rows can be told from others."""
+    return F.xxhash64(id_col, text)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -189,11 +194,3 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 def list_array(values: np.ndarray, splits: np.ndarray, kind=pa.int64()) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(splits.astype(np.int32), pa.int32()), pa.array(values, kind))
-
-
-def empty_like(schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
-
-
-def id_text(name: str):
-    return F.col(name).cast("string")

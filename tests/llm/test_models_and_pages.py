@@ -14,7 +14,7 @@ from newsfunnel.llm import op5_quality_rules as rules
 from newsfunnel.llm import op7_warc as warc
 from newsfunnel.llm import op8_html_text as pages
 from newsfunnel.llm.op4_quality_classifier import classify, expectation_maximisation
-from newsfunnel.llm.op6_language import fit_temperature, identify_languages, softmax
+from newsfunnel.llm.op6_language import _sample_each, fit_temperature, identify_languages, softmax
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, p_junk int, keep string, row string"
@@ -237,3 +237,37 @@ def test_wrapped_blocks_and_headlines_stay():
         assert pages.extract(begin + body + end, pages.DEFAULT) == "\n".join(blocks)
         head = begin + "<div class=entry-header><h1>The headline</h1></div><p>" + blocks[0] + "</p>" + end
         assert pages.extract(head, pages.DEFAULT) == "The headline\n" + blocks[0]
+
+
+def test_archives_tell_rows_of_one_id_by_their_payload(spark, tmp_path):
+    rows = [(1, "A"), (2, "A"), (1, "BBBB"), (3, "BBBB"), (None, "A"), (4, "C")]
+    pages = spark.createDataFrame([(i, "http://x", h) for i, h in rows], "page_id long, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "w"))
+    got = sorted(((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"])
+                  for r in warc.records_of(warc.read_archives(spark, str(tmp_path / "w"))).collect()), key=str)
+    assert got == sorted([(1, 1, "revisit", 2), (2, 1, "response", None), (1, 4, "revisit", 3), (3, 4, "response", None),
+                          (0, 1, "response", None), (4, 1, "response", None)], key=str)
+
+
+def test_a_repeated_id_does_not_multiply_the_samples(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    one = labels.orderBy("doc_id").first()["doc_id"]
+    same = docs.filter(F.col("doc_id") == one)
+    many = docs.unionByName(same.crossJoin(spark.range(400)).drop("id"))
+    few = {r["doc_id"]: r["keep"] for r in classify(docs, labels).select("doc_id", "keep").collect()}
+    got = classify(many, labels).select("doc_id", "keep").collect()
+    assert len(got) == len(few) + 400
+    assert sum(r["keep"] == few[r["doc_id"]] for r in got) > 0.97 * len(got)
+    sizes = identify_languages(many)
+    assert sizes.count() == len(got)
+
+
+def test_every_language_has_its_share_of_the_samples(spark):
+    rows = spark.range(3000).select(
+        F.col("id").alias("key"), F.when(F.col("id") < 2990, "aa").otherwise("bb").alias("lang"),
+        (F.col("id") % 3 == 0).alias("calibrates"))
+    sizes = rows.groupBy("lang", "calibrates").count().collect()
+    got = _sample_each(rows, sizes, {False: 50, True: 20}).join(rows, "key").groupBy("lang", "calibrates").count().collect()
+    assert {(r["lang"], r["calibrates"]): r["count"] for r in got} == {
+        ("aa", False): 50, ("aa", True): 20, ("bb", False): 7, ("bb", True): 3}
