@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from newsfunnel import dims
 from newsfunnel.functions import model_json
-from newsfunnel.operators.numbering import with_ordinal
+from newsfunnel.operators.numbering import with_ordinal_joined
 from newsfunnel.session import map_batches
 
 
@@ -25,7 +25,7 @@ class FatalScoringError(Exception):
 
 def pack_batches(df: DataFrame, size: int, order: list[Column]) -> DataFrame:
     """Add batch (from 0) and n (1..size): consecutive chunks of the rows in `order`."""
-    return with_ordinal(df, order, "_ord").withColumns({
+    return with_ordinal_joined(df, order, "_ord").withColumns({
         "batch": F.floor(F.col("_ord") / size).cast("bigint"),
         "n": (F.col("_ord") % size + 1).cast("int"),
     }).drop("_ord")

@@ -37,9 +37,9 @@ def clean_articles(df: DataFrame, aliases: DataFrame, tiers: DataFrame) -> DataF
     return tier_for(unify_source(cleaned, aliases), tiers)
 
 
-def best_article(id_col: str = "id"):
-    """Ordering struct: lowest tier, then earliest, then first arrival, then id."""
-    return F.struct("source_tier", "published_at", "feed_pos", id_col)
+def best_article(id_col: str = "id") -> list[str]:
+    """Order of preference: lowest tier, then earliest, then first arrival, then id."""
+    return ["source_tier", "published_at", "feed_pos", id_col]
 
 
 def dedupe_by_url(df: DataFrame) -> DataFrame:

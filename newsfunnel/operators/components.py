@@ -1,15 +1,19 @@
 """Connected components by alternating large-star and small-star steps.
 
-Each step is one grouped minimum (combined before the shuffle) and one equi-join back, so a
-hub node is never gathered anywhere; adaptive execution splits its join partition. The edge
-set is materialised in reliable storage after every round.
+Ids are mapped once to whole numbers in their own order, so rounds hash and compare eight bytes.
+Each step is one grouped minimum (combined before the shuffle) and one equi-join back, so a hub
+node is never gathered anywhere; adaptive execution splits its join partition. The edge set is
+materialised in reliable storage after every round, in one action that also takes its fingerprint;
+the round before is deleted then.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
-from newsfunnel.session import cut_lineage
+from newsfunnel.operators.numbering import with_ordinal
+from newsfunnel.session import cut_lineage, drop_path, write_stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,28 +37,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(low.select("u", F.col("low").alias("v"))).distinct()
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"),
-        F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("s"),
-    ).first()
-    return tuple(row)
+def _stored(edges: DataFrame) -> tuple[DataFrame, str, dict]:
+    return write_stage(
+        edges, "edges", n=F.count(F.lit(1)), x=F.bit_xor(F.xxhash64("u", "v")),
+        s=F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of `edges` (columns a, b); the component is named by
-    its smallest node. Nodes without edges are not listed: they are their own component."""
-    current = cut_lineage(
+def _components_of_numbers(edges: DataFrame, max_rounds: int) -> DataFrame:
+    current, path, seen = _stored(
         edges.filter(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    seen = _fingerprint(current)
     for _ in range(max_rounds):
-        if seen[0] == 0:
+        if seen["n"] == 0:
             break
-        current = cut_lineage(_small_star(_large_star(current)))
-        now = _fingerprint(current)
+        current, new_path, now = _stored(_small_star(_large_star(current)))
+        drop_path(edges.sparkSession, path)
+        path = new_path
         if now == seen:
             break
         seen = now
@@ -62,3 +62,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(node, component) for every node of `edges` (columns a, b); the component is named by
+    its smallest node. Nodes without edges are not listed: they are their own component."""
+    if isinstance(edges.schema["a"].dataType, IntegralType):
+        return _components_of_numbers(edges, max_rounds)
+    pairs = cut_lineage(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct(), "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    names = cut_lineage(with_ordinal(nodes, [F.asc("node")], "n"), "names")
+
+    def number(side: str) -> DataFrame:
+        return names.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"))
+
+    numbers = pairs.join(number("a"), "a").join(number("b"), "b").select(
+        F.col("n_a").alias("a"), F.col("n_b").alias("b"))
+    found = _components_of_numbers(numbers, max_rounds).toDF("n_node", "n_component")
+    return found.join(number("node"), "n_node").join(number("component"), "n_component").select("node", "component")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsfunnel import dims
 from newsfunnel.functions import text
@@ -181,42 +181,39 @@ def merge_deals(
         .withColumn("size", F.coalesce("size", F.lit(1)).cast("bigint"))
         .join(component, "deal_id", "left")
     )
-    record = F.struct(*deals.columns)
-    arrival = F.struct("feed_pos", "deal_id")
-    named = ~is_undisclosed(F.col("acquirer"))
-    preference = F.struct(
-        F.col("deal_value").isNull().alias("p1"), (~named).alias("p2"), (-F.col("size")).alias(
-            "p3"), F.col("announced_date").alias("p4"), F.col("feed_pos").alias("p5"),
-        F.col("deal_id").alias("p6"),
+    arrival = ["feed_pos", "deal_id"]
+    unnamed = is_undisclosed(F.col("acquirer"))
+    preference = [
+        F.col("deal_value").isNull(), unnamed, F.desc("size"), F.asc("announced_date"), *map(F.asc, arrival),
+    ]
+    grouped = sized.filter("component is not null")
+
+    def first(rows: DataFrame, order: list, **values: str) -> DataFrame:
+        """`values` of the first row of each group, found on narrow rows behind a group limit."""
+        place = F.row_number().over(Window.partitionBy("component").orderBy(*order))
+        return rows.withColumn("_rn", place).filter("_rn = 1").select(
+            "component", *[F.col(c).alias(name) for name, c in values.items()])
+
+    winners = (
+        first(grouped, preference, deal_id="deal_id")
+        .join(first(grouped.filter("deal_value is not null"), arrival, m_value="deal_value", m_currency="currency"),
+              "component", "left")
+        .join(first(grouped.filter(~unnamed), arrival, m_buyer="acquirer"), "component", "left")
+        .join(first(grouped.filter("stake_pct is not null"), arrival, m_stake="stake_pct"), "component", "left")
+        .join(grouped.groupBy("component").agg((F.count(F.lit(1)) - 1).alias("merged")), "component")
     )
-
-    def first_having(value: Column, present: Column) -> Column:
-        return F.min_by(value, F.when(present, arrival))
-
-    groups = cut_lineage(sized.filter("component is not null").groupBy("component").agg(
-        F.min_by(record, preference).alias("s"),
-        first_having(
-            F.struct("deal_value", "currency"), F.col("deal_value").isNotNull()).alias("money"),
-        first_having(F.col("acquirer"), named).alias("buyer"),
-        first_having(F.col("stake_pct"), F.col("stake_pct").isNotNull()).alias("stake"),
-        (F.count(F.lit(1)) - 1).alias("merged"),
-    ))
-    no_value = F.col("s.deal_value").isNull()
+    groups = cut_lineage(winners.join(grouped.drop("component", "size"), "deal_id"))
     enriched = {
-        "deal_value": F.coalesce("s.deal_value", "money.deal_value"),
-        "currency": F.when(no_value, F.col("money.currency")).otherwise(F.col("s.currency")),
-        "acquirer": F.when(
-            is_undisclosed(F.col("s.acquirer")), F.coalesce("buyer", "s.acquirer")
-        ).otherwise(F.col("s.acquirer")),
-        "stake_pct": F.coalesce("s.stake_pct", "stake"),
+        "deal_value": F.coalesce("deal_value", "m_value"),
+        "currency": F.when(F.col("deal_value").isNull(), F.col("m_currency")).otherwise(F.col("currency")),
+        "acquirer": F.when(unnamed, F.coalesce("m_buyer", "acquirer")).otherwise(F.col("acquirer")),
+        "stake_pct": F.coalesce("stake_pct", "m_stake"),
     }
-    folded = groups.select(
-        *[enriched.get(c, F.col(f"s.{c}")).alias(c) for c in deals.columns], "merged"
-    )
+    folded = groups.select(*[enriched.get(c, F.col(c)).alias(c) for c in deals.columns], "merged")
     alone = sized.filter("component is null").select(
         *deals.columns, F.lit(0).cast("bigint").alias("merged")
     )
-    survivors = groups.select("component", F.col("s.cluster_id").alias("into"))
+    survivors = groups.select("component", F.col("cluster_id").alias("into"))
     moves = sized.select("deal_id", "cluster_id", "component").join(
         survivors, "component", "left"
     ).select("deal_id", "cluster_id", F.coalesce("into", "cluster_id").alias("into"))

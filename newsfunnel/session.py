@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import shutil
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def build_session(master: str = "local[*]", app: str = "newsfunnel", **conf) -> SparkSession:
@@ -49,8 +51,52 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def run_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder for one run's intermediate tables."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the shared folder for one run's intermediate tables; below the folder of
+    the run in whose `stage_store` it is called."""
+    store = _store.get()
+    root = store.path if store else shared_dir(spark).rstrip("/")
+    return f"{root}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+class StageStore:
+    """The folder of one run's stage tables. Several holders may share it; when the last one has
+    released it, it is deleted as a whole."""
+
+    def __init__(self, spark: SparkSession, label: str = "run"):
+        self.spark, self.path, self._holders = spark, run_dir(spark, label), 1
+
+    def hold(self) -> StageStore:
+        if not self._holders:
+            raise RuntimeError(f"{self.path} is deleted already")
+        self._holders += 1
+        return self
+
+    def release(self) -> None:
+        if self._holders:
+            self._holders -= 1
+            if not self._holders:
+                drop_path(self.spark, self.path)
+
+
+_store: contextvars.ContextVar[StageStore | None] = contextvars.ContextVar("stage_store", default=None)
+
+
+@contextlib.contextmanager
+def stage_store(store: StageStore) -> Iterator[StageStore]:
+    """Stage tables written inside go to `store`."""
+    token = _store.set(store)
+    try:
+        yield store
+    finally:
+        _store.reset(token)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library's own below the shared folder, on whatever file system it is."""
+    if not path.startswith(f"{shared_dir(spark).rstrip('/')}/"):
+        raise ValueError(f"{path} is not below the shared folder")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def ship_package(spark: SparkSession, name: str = "newsfunnel") -> None:
@@ -85,10 +131,24 @@ def spread(df: DataFrame) -> DataFrame:
 def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write `df` once as a table in the shared folder and go on from there.
 
-    Lost executors then cost no recomputation, a scorer is never called twice for a row, and
-    every later stage sees the same rows. Unlike an RDD checkpoint the table is compressed,
-    has true sizes for the optimizer, and later stages read only the columns they use.
+    Lost executors then cost no recomputation of what is written, and every later stage sees the
+    same rows. Unlike an RDD checkpoint the table is compressed, has true sizes for the optimizer,
+    and later stages read only the columns they use. A task that is retried while the table is
+    written runs again, with its calls of a scorer.
     """
-    path = run_dir(df.sparkSession, label)
+    return write_stage(df, label)[0]
+
+
+def write_stage(df: DataFrame, label: str = "stage", **measures) -> tuple[DataFrame, str, dict]:
+    """(the stored table, its path, `measures` of its rows): aggregates are taken while the rows are
+    written, so they cost no pass of their own."""
+    path, seen = run_dir(df.sparkSession, label), Observation()
+    if measures:
+        df = df.observe(seen, *[c.alias(name) for name, c in measures.items()])
     df.write.mode("error").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path, seen.get if measures else {}
+
+
+def broadcast_if_few(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
+    """Narrow rows of a counted table: broadcast up to `most` of them, beyond that joined by a shuffle."""
+    return F.broadcast(df) if rows <= most else df

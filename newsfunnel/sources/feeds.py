@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsfunnel import schemas
 from newsfunnel.functions import text
-from newsfunnel.operators.numbering import with_ordinal
+from newsfunnel.operators.numbering import running_total
+from newsfunnel.session import broadcast_if_few, cut_lineage
 
 RAW_ITEM = (
     "title string, link string, isoDate string, pubDate string, contentSnippet string, "
@@ -45,14 +46,24 @@ def scan_feeds(spark: SparkSession, path: str) -> DataFrame:
         spark.read.format("xml").options(**READ_OPTIONS).option("recursiveFileLookup", "true")
         .schema(RAW_ITEM).load(path)
     )
-    read = shape_items(raw).withColumn("_at", F.monotonically_increasing_id())
-    return with_ordinal(read, arrival(), "feed_pos").drop("path", "block", "_at")
-
-
-def arrival() -> list:
-    """Order of scanned rows with `_at`, their row number within the task: files by path, splits
-    by their first byte, then as read."""
-    return [F.asc("path"), F.asc("block"), F.asc("_at")]
+    return number_arrivals(shape_items(raw))
+
+
+def number_arrivals(read: DataFrame, name: str = "feed_pos") -> DataFrame:
+    """Scanned items with their number from 0: files by path, splits by their first byte, then as read.
+
+    Items are stored as they are read and never sorted: a split's items stand together in one task,
+    so the number of the split's first item, from the counts of all splits, numbers them all."""
+    placed = cut_lineage(
+        read.withColumn("block", F.coalesce("block", F.lit(0).cast("long")))
+        .withColumn("_at", F.monotonically_increasing_id()), "items")
+    splits = placed.groupBy("path", "block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before, rows = running_total(splits, [F.asc("path"), F.asc("block")], "_n", "_before")
+    return (
+        placed.join(broadcast_if_few(before.drop("_n"), rows), ["path", "block"])
+        .withColumn(name, F.col("_before") + F.col("_at") - F.col("_first"))
+        .drop("path", "block", "_at", "_first", "_before")
+    )
 
 
 def stream_feeds(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,6 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsfunnel import dims
-from newsfunnel.operators.numbering import with_ordinal
 from newsfunnel.plans.digest_run import DigestOptions, DigestRun, run_digest
 from newsfunnel.sources import feeds, snapshot
 
@@ -33,11 +32,9 @@ def land_new_items(spark: SparkSession, feed_path: str, store: str, checkpoint:
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        read = batch.withColumn("_at", F.monotonically_increasing_id())
-        numbered = with_ordinal(read, feeds.arrival(), "feed_pos")
-        numbered.withColumn("feed_pos", F.lit(batch_id * BATCH_SPAN) + F.col("feed_pos")).drop(
-            "path", "block", "_at"
-        ).write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
+        numbered = feeds.number_arrivals(batch)
+        numbered.withColumn("feed_pos", F.lit(batch_id * BATCH_SPAN) + F.col("feed_pos")) \
+            .write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
 
     query = (
         feeds.stream_feeds(spark, feed_path).writeStream.foreachBatch(append)
