@@ -184,7 +184,7 @@ def _sizes(rows: list[dict]) -> str:
       count(*) || ':' || CAST(sum(length(text)) AS BIGINT) END AS response
     FROM packed GROUP BY 1""")
 def score_batches(spark, sf):
-    return batches.score_batches(_packed(spark, sf), _sizes, ["role", "text"], parallel=4)
+    return batches.score_batches(_packed(spark, sf), _sizes, ["role", "text"], parallel=4).select("batch", "response")
 
 
 def _letter_counts(texts: list[str]) -> list[list[float]]:
@@ -452,9 +452,10 @@ def digest_funnel(spark, sf):
 @query("export_json_roundtrip")
 def export_json_roundtrip(spark, sf):
     """The snapshot of a whole run, written as JSON and read back: deals with their evidence."""
-    parts = digest_run.snapshot_export(whole_run(spark, sf))
     path = exports.export_path(run_dir(spark, "json"), F.lit(V.NOW), spark)
-    exports.write_json(parts, path)
+    with whole_run(spark, sf) as run:
+        parts = digest_run.snapshot_export(run)
+        exports.write_json(parts, path)
     back = {n: spark.read.schema(p.schema).json(f"{path}/{n}") for n, p in parts.items()}
     deals = back["digest"].select("title", F.explode("deals").alias("d")).select(
         "title", "d.rank_pos", "d.deal_id", "d.cluster_id", "d.confidence")

@@ -194,6 +194,13 @@ EXPORT_COLUMNS = [
 # join broadcasts them; a caller's own, larger table is shuffled instead.
 
 
+def term_dim(spark: SparkSession, terms: list[str] | None = None) -> DataFrame:
+    """(term, term_pos): what the query grid asks for, watched names before category terms."""
+    terms = WATCHLIST + CATEGORY_TERMS if terms is None else terms
+    schema = pa.schema([("term", pa.string()), ("term_pos", pa.int32())])
+    return spark.createDataFrame(pa.table({"term": list(terms), "term_pos": list(range(len(terms)))}, schema))
+
+
 def alias_dim(spark: SparkSession, aliases: dict[str, str] = SOURCE_ALIASES) -> DataFrame:
     """(alias_key, unified): one row per known publisher spelling."""
     columns = {"alias_key": list(aliases), "unified": list(aliases.values())}

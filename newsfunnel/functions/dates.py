@@ -6,22 +6,36 @@ from pyspark.sql import Column, functions as F
 
 
 def parse_feed_date(c: Column) -> Column:
-    """ISO-8601 or RFC-822 text to a timestamp, NULL when neither fits.
+    """ISO-8601, RFC-822 or another common spelling of a date to a timestamp, NULL when none fits.
 
     An ISO date must begin with year, month and day: a bare time would take the date of the day
-    on which it is read. An RFC-822 date may lack its weekday, seconds, time or zone (then UTC),
-    have a two-digit year (50 to 99 are of the last century) and a month spelt out. Its weekday is
-    removed first: pattern letter E is not accepted.
+    on which it is read. Its time may lack seconds. Other dates may lack their weekday, seconds,
+    time or zone (then UTC), have a two-digit year after the month (50 to 99 are of the last
+    century), a month spelt out or before the day, slashes (year first, or month first with the year
+    last), AM or PM, a zone as GMT+0100 or +01:00 and a zone name in brackets. The weekday is removed
+    first: pattern letter E is not accepted.
     """
-    iso = F.when(c.rlike(r"^\s*\d{4}-\d{2}-\d{2}(?:[T ]|\s*$)"), F.try_to_timestamp(F.trim(c)))
-    plain = F.trim(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"^ ?[A-Za-z]{3,9},? ", ""))
-    plain = F.regexp_replace(plain, r"^(\d{1,2} [A-Za-z]{3})[A-Za-z]*\.? ", "$1 ")
+    t = F.trim(F.regexp_replace(c, r"\s+", " "))
+    seconds = F.regexp_replace(t, r"^(\S{10}[T ]\d{2}:\d{2})(?=$|Z|[+-])", "$1:00")
+    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ]|$)"), F.try_to_timestamp(seconds))
+    plain = F.regexp_replace(t, r" ?\([^)]*\)$", "")
+    plain = F.regexp_replace(plain, r"^(?i:mon|tue|wed|thu|fri|sat|sun)[A-Za-z]*,? ", "")
+    plain = F.regexp_replace(plain, r"^([A-Za-z]{3})[A-Za-z]*\.? (\d{1,2}),? (\d{4})(?=,? |$)", "$2 $1 $3")
+    plain = F.regexp_replace(plain, r"^(\d{1,2} [A-Za-z]{3})[A-Za-z]*\.?,? ", "$1 ")
     plain = F.regexp_replace(plain, r"^(\d{1,2} [A-Za-z]{3}) ([0-4]\d)(?= |$)", "$1 20$2")
     plain = F.regexp_replace(plain, r"^(\d{1,2} [A-Za-z]{3}) ([5-9]\d)(?= |$)", "$1 19$2")
+    plain = F.regexp_replace(plain, r"(?<=\d{4}), (?=\d)", " ")
     plain = F.regexp_replace(plain, r" (\d{1,2}:\d{2})(?= |$)", " $1:00")
-    day = "d MMM yyyy"
-    patterns = [f"{day} H:mm:ss zzz", f"{day} H:mm:ss Z", f"{day} H:mm:ss", day]
-    return F.coalesce(iso, *[F.try_to_timestamp(plain, F.lit(p)) for p in patterns])
+    plain = F.regexp_replace(plain, r" (?:GMT|UTC)?([+-]\d{2}):?(\d{2})$", " $1$2")
+
+    def with_day(day: str) -> Column:
+        patterns = [f"{day} H:mm:ss zzz", f"{day} H:mm:ss Z", f"{day} H:mm:ss", day, f"{day} h:mm:ss a"]
+        return F.coalesce(*[F.try_to_timestamp(plain, F.lit(p)) for p in patterns])
+
+    spelt = F.when(plain.rlike(r"^\d{1,2} "), with_day("d MMM yyyy")).when(
+        plain.rlike(r"^\d{4}/"), with_day("yyyy/M/d")).when(
+        plain.rlike(r"^\d{1,2}/\d{1,2}/\d{4}"), with_day("M/d/yyyy"))
+    return F.coalesce(iso, spelt)
 
 
 def normalise_ts(c: Column) -> Column:

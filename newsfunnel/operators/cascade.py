@@ -40,26 +40,31 @@ def confirmed(judged: DataFrame, flag: str = "is_deal") -> DataFrame:
 
 def relevance_cascade(
     articles: DataFrame, screen_fn: Callable, confirm_fn: Callable,
-    order: list[str] = ("feed_pos", "id"), parallel: int | None = None, **patterns,
+    order: list[str] = ("feed_pos", "id"), parallel: int | None = None, ledger: str | None = None,
+    failures: list[DataFrame] | None = None, **patterns,
 ) -> tuple[DataFrame, DataFrame]:
     """(flags, verdicts).
 
     flags holds one row per article (id, pre_filtered, screen, answered, is_deal), enough for
     the statistics; verdicts is (id, is_deal, verdict_type, confidence, reasoning) for answered
-    articles. Answers are materialised after each scorer, so no batch is ever scored twice.
+    articles. Answers are materialised after each scorer, so a finished one is not called again.
+    `failures` receives one row per scorer: how many of its batches failed, and why.
     """
+    failures = [] if failures is None else failures
     by = [F.asc(c) for c in order]
     candidates = pre_filter(articles, **patterns)
     packed = cut_lineage(batches.pack_batches(candidates, dims.SCREEN_BATCH, by))
-    answers = cut_lineage(batches.score_batches(packed, screen_fn, ["title"], parallel))
+    answers = cut_lineage(batches.score_batches(packed, screen_fn, ["title"], parallel, ledger, "screen"))
+    failures.append(batches.failed_batches("screen", answers))
     screened = cut_lineage(
         batches.match_by_echo(packed, answers)
         .withColumn("screen", batches.screen_flag(F.col("answer"))).drop("answer", "batch", "n")
     )
     packed = cut_lineage(batches.pack_batches(shortlist(screened), dims.CONFIRM_BATCH, by))
     answers = cut_lineage(
-        batches.score_batches(packed, confirm_fn, ["title", "source", "snippet"], parallel)
+        batches.score_batches(packed, confirm_fn, ["title", "source", "snippet"], parallel, ledger, "confirm")
     )
+    failures.append(batches.failed_batches("confirm", answers))
     judged = batches.match_by_echo(packed, answers, "$.verdicts").filter("answer is not null")
     verdicts = cut_lineage(
         judged.select("id", coerce_verdict(F.col("answer")).alias("v")).select("id", "v.*")
@@ -83,7 +88,8 @@ def relevant_articles(articles: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def extract_deals(
     relevant: DataFrame, verdicts: DataFrame, extract_fn: Callable,
-    parallel: int | None = None, **coercion,
+    parallel: int | None = None, ledger: str | None = None, failures: list[DataFrame] | None = None,
+    **coercion,
 ) -> DataFrame:
     """Deal records of the relevant articles, one model call per article."""
     judged = attach_verdicts(relevant, verdicts)
@@ -95,7 +101,9 @@ def extract_deals(
         "id", prompt.alias("prompt"), F.lit(1).alias("n"),
         F.monotonically_increasing_id().alias("batch"),
     ))
-    answers = cut_lineage(batches.score_batches(packed, extract_fn, ["prompt"], parallel))
+    answers = cut_lineage(batches.score_batches(packed, extract_fn, ["prompt"], parallel, ledger, "extract"))
+    if failures is not None:
+        failures.append(batches.failed_batches("extract", answers))
     answered = packed.join(answers, "batch").select("id", F.col("response").alias("answer"))
     return coerce_deals(
         judged.select("id", "verdict_type", "confidence", "published_at", "feed_pos")

@@ -29,6 +29,11 @@ def query_grid(
     return out.filter(F.col("grid_pos") < (2 * n if limit is None else limit))
 
 
+def published_at() -> Column:
+    """When a landed item says it was published."""
+    return dates.parse_feed_date(F.coalesce("isoDate", "pubDate"))
+
+
 def filter_window(df: DataFrame, now: Column, days: int, ts: str = "published_at") -> DataFrame:
     """Rows with a date inside the window. There is no upper bound: future dates stay."""
     return df.filter(F.col(ts).isNotNull() & (F.col(ts) >= dates.cutoff(now, days)))
@@ -110,7 +115,9 @@ def accept_items(
     """Feed items (feed, feed_pos, FEED_ITEM columns) to raw articles."""
     dated = items.filter(
         (F.coalesce("title", F.lit("")) != "") & (F.coalesce("link", F.lit("")) != "")
-    ).withColumn("published_at", dates.parse_feed_date(F.coalesce("isoDate", "pubDate")))
+    )
+    if "published_at" not in items.columns:  # a store of items has read their dates already
+        dated = dated.withColumn("published_at", published_at())
     kept = drop_blocked(
         resolve_source(filter_window(dated, now, window_days)), blocklist, aliases
     )

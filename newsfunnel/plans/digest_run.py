@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -14,7 +15,7 @@ from newsfunnel.operators import (
     batches, cascade, clean, clusters, credibility, deals as deal_ops, diagnostics, digest,
     ingest, merge, rank,
 )
-from newsfunnel.session import cut_lineage
+from newsfunnel.session import StageStore, cut_lineage, stage_store
 from newsfunnel.sources import feeds, snapshot
 
 
@@ -31,7 +32,9 @@ class DigestOptions:
     window_days: int = dims.WINDOW_DAYS
     per_feed_cap: int | None = dims.PER_FEED_CAP  # None: no cap
     query_limit: int | None = None  # queries of the grid that are expected to bring feeds
-    expected: Callable | None = None  # (spark, query limit) -> feeds that should have items
+    expected: Callable | None = None  # (spark, query limit) -> feeds that should have items; else the grid's
+    ledger: str | None = None  # folder that keeps the scorers' answers from run to run
+    embed_store: str | None = None  # folder that keeps vectors from run to run
     embed_dim: int = dims.EMBED_DIM
     cosine_threshold: float = dims.COSINE_THRESHOLD
     title_ratio: int = dims.TITLE_MATCH_RATIO
@@ -44,8 +47,23 @@ class DigestOptions:
 
 @dataclass
 class DigestRun:
+    """The tables rest on stage tables in the run's own folder, which `close` deletes: store or read
+    what is wanted first. Also a context manager."""
+
     tables: dict[str, DataFrame]
     diagnostics: dict[str, DataFrame]
+    stages: StageStore | None = None
+
+    def close(self) -> None:
+        if self.stages is not None:
+            self.stages.release()
+            self.stages = None
+
+    def __enter__(self) -> DigestRun:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
 
 
 def _prose(selected: DataFrame, sources: DataFrame, fn: Callable | None):
@@ -79,17 +97,35 @@ def _prose(selected: DataFrame, sources: DataFrame, fn: Callable | None):
     return rows, bullets
 
 
-def run_digest(spark: SparkSession, items: DataFrame, opts: DigestOptions) -> DigestRun:
+def run_digest(
+    spark: SparkSession, items: DataFrame, opts: DigestOptions, scan: DataFrame | None = None,
+) -> DigestRun:
     """Run every stage on feed items (feed, feed_pos and item columns).
 
     An empty result is valid. A scorer that raises FatalScoringError is not, and fails the run.
+    `scan` has the items by which silent and broken feeds are told, if `items` are only some of them.
+    Close the run when its tables are stored.
     """
+    store = StageStore(spark)
+    try:
+        with stage_store(store):
+            run = _run(spark, items, opts, items if scan is None else scan)
+    except BaseException:
+        store.release()
+        raise
+    run.stages = store
+    return run
+
+
+def _run(spark: SparkSession, items: DataFrame, opts: DigestOptions, scan: DataFrame) -> DigestRun:
     now = F.lit(opts.now)
     start = dates.cutoff(now, opts.window_days)
     aliases, tiers = dims.alias_dim(spark), dims.tier_dim(spark)
     expected = (
-        opts.expected(spark, opts.query_limit) if opts.expected else items.select("feed").distinct()
+        opts.expected(spark, opts.query_limit) if opts.expected
+        else ingest.expected_feeds(dims.term_dim(spark), limit=opts.query_limit)
     )
+    scoring: list[DataFrame] = []
     raw = cut_lineage(ingest.accept_items(
         feeds.good_items(items), now, opts.window_days, dims.blocklist_dim(spark), aliases,
         opts.per_feed_cap,
@@ -100,7 +136,7 @@ def run_digest(spark: SparkSession, items: DataFrame, opts: DigestOptions) -> Di
     if opts.embed_fn is not None:
         texts = articles.select("id", text.embed_text(F.col("title"), F.col("snippet")).alias("t"))
         vectors = cut_lineage(
-            batches.embed_column(texts, opts.embed_fn, "id", "t", opts.embed_dim)
+            batches.embed_column(texts, opts.embed_fn, "id", "t", opts.embed_dim, store=opts.embed_store)
         )
     links = clusters.story_links(articles, vectors, opts.cosine_threshold, opts.title_ratio)
     membership, cluster_rows = clusters.build_clusters(articles, links)
@@ -108,12 +144,13 @@ def run_digest(spark: SparkSession, items: DataFrame, opts: DigestOptions) -> Di
     canonical = cut_lineage(clusters.canonical_articles(articles, cluster_rows))
 
     flags, verdicts = cascade.relevance_cascade(
-        canonical, opts.screen_fn, opts.confirm_fn, parallel=opts.parallel, **opts.patterns
+        canonical, opts.screen_fn, opts.confirm_fn, parallel=opts.parallel, ledger=opts.ledger,
+        failures=scoring, **opts.patterns
     )
     flags = cut_lineage(flags)
     relevant = cut_lineage(cascade.relevant_articles(canonical, verdicts))
     records = cut_lineage(deal_ops.flag_publishable(cascade.extract_deals(
-        relevant, verdicts, opts.extract_fn, opts.parallel, categories=opts.categories
+        relevant, verdicts, opts.extract_fn, opts.parallel, opts.ledger, scoring, categories=opts.categories
     )))
     publishable = records.filter("publishable").drop("publishable")
     rejected = records.filter(~F.col("publishable")).select("acquirer", "target", "deal_type")
@@ -179,7 +216,8 @@ def run_digest(spark: SparkSession, items: DataFrame, opts: DigestOptions) -> Di
             "tiers": diagnostics.tier_counts(canonical),
             "drift": diagnostics.confidence_drift(
                 verdicts.join(relevant.select("id"), "id", "left_semi"), "confidence"),
-            "failures": feeds.feed_failures(items, expected),
+            "failures": feeds.feed_failures(scan, expected),
+            "scoring": functools.reduce(DataFrame.unionByName, scoring),
         },
     )
 

@@ -95,8 +95,22 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of this library's own below the shared folder, on whatever file system it is."""
     if not path.startswith(f"{shared_dir(spark).rstrip('/')}/"):
         raise ValueError(f"{path} is not below the shared folder")
+    delete_tree(spark, path)
+
+
+def _file(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete_tree(spark: SparkSession, path: str) -> None:
+    target, files = _file(spark, path)
+    files.delete(target, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target, files = _file(spark, path)
+    return files.exists(target)
 
 
 def ship_package(spark: SparkSession, name: str = "newsfunnel") -> None:

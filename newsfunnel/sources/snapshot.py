@@ -13,6 +13,8 @@ from typing import NamedTuple
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from newsfunnel.session import delete_tree, path_exists
+
 TABLES = ("deals", "clusters", "membership", "articles", "funnel", "sections", "header")
 
 
@@ -58,12 +60,17 @@ def _existing_deals(spark: SparkSession, path: str) -> int:
     return read_snapshot(spark, path)["deals"].count()
 
 
-def write_snapshot(tables: dict[str, DataFrame], path: str, force: bool = False) -> str:
+def write_snapshot(
+    tables: dict[str, DataFrame], path: str, force: bool = False, keep: int | None = None,
+) -> str:
     """Write `tables` (must hold 'deals') as the current snapshot of `path`.
 
     Refuses to replace a snapshot that has deals by one that has none, unless forced: an empty
-    run is far more often broken than true.
+    run is far more often broken than true. With `keep`, versions older than the `keep` newest are
+    deleted at the end.
     """
+    if keep is not None and keep < 1:
+        raise ValueError("at least the new version is kept")
     spark = tables["deals"].sparkSession
     if not force and tables["deals"].isEmpty():
         existing = _existing_deals(spark, path)
@@ -82,9 +89,28 @@ def write_snapshot(tables: dict[str, DataFrame], path: str, force: bool = False)
         number = 1
     pointer = spark.createDataFrame([(f"{number:020d} {version}",)], "value string")
     pointer.coalesce(1).write.mode("append").text(f"{path}/current")
+    if keep is not None:
+        retain(spark, path, keep)
     return version
 
 
+def manifest(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, version) of every snapshot ever written to `path`, newest first; one line each."""
+    lines = [r["value"].partition(" ") for r in spark.read.text(f"{path}/current").collect()]
+    return sorted(((int(number), version) for number, _, version in lines), reverse=True)
+
+
+def retain(spark: SparkSession, path: str, keep: int) -> list[str]:
+    """Delete the versions before the `keep` newest; readers of those that stay are not disturbed. A
+    version a writer has not pointed to yet is not touched. Returns what was deleted."""
+    gone = []
+    for _, version in manifest(spark, path)[keep:]:
+        if path_exists(spark, f"{path}/{version}"):
+            delete_tree(spark, f"{path}/{version}")
+            gone.append(version)
+    return gone
+
+
 def load_snapshot(spark: SparkSession, live: str | None, seed: str) -> LoadedSnapshot:
     """The live snapshot, or the seed when the live one is missing or unreadable."""
     if live:
