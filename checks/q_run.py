@@ -379,25 +379,6 @@ def whole_run(spark, sf):
     return digest_run.run_digest(spark, feeds.scan_feeds(spark, landed), options(now))
 
 
-@query("digest_end_to_end")
-def digest_end_to_end(spark, sf):
-    run = whole_run(spark, sf)
-    flat = digest.sections_flat(run.tables["sections"])
-    return flat.select("category", "item_no", "deal_id", "headline", "summary",
-                       "primary_source_url", "badge")
-
-
-@query("digest_articles", S.with_views("articles_v", body=f"""
-    SELECT id, any_value({S.canonical_url('url')}) AS url, min(feed_pos) AS feed_pos,
-      any_value(CASE WHEN trim(title) = '' THEN NULL ELSE title END) AS title
-    FROM articles_v GROUP BY id"""))
-def digest_articles(spark, sf):
-    """The articles of a whole run: landed, scanned, accepted, cleaned and de-duplicated."""
-    articles = whole_run(spark, sf).tables["articles"]
-    origin = V.articles_v(spark, sf).groupBy("id").agg(F.min("feed_pos").alias("feed_pos"))
-    return articles.select("id", "url", "title").join(origin, "id")
-
-
 _BYTE_SUM = (
     "list_sum(list_transform(range(1, strlen(w) * 2, 2), "
     "lambda i: CAST('0x' || substr(hex(encode(w)), i, 2) AS INTEGER)))"
@@ -406,7 +387,8 @@ _STRIPPED = S.strip_html(S.strip_html("snippet"))
 #: The whole run's stories in SQL: articles, both kinds of links, components, canonical articles.
 _STORIES = [
     f"""arts AS (SELECT id, arg_min(trim(title), published_at) AS title, min(published_at) AS published_at,
-      arg_min({_STRIPPED}, published_at) AS snippet FROM articles_v GROUP BY id)""",
+      arg_min({_STRIPPED}, published_at) AS snippet, any_value(source) AS source,
+      any_value({S.canonical_url('url')}) AS url FROM articles_v GROUP BY id)""",
     f"named AS (SELECT id, {S.norm_title('title')} AS norm FROM arts)",
     """wordlist AS (SELECT id, unnest(list_filter(regexp_split_to_array(
       lower(left(title || '. ' || snippet, 512)), '\\s+'), lambda x: x <> '')) AS w FROM arts)""",
@@ -421,6 +403,56 @@ _STORIES = [
     "placed AS (SELECT arts.*, component FROM arts JOIN comp ON comp.node = arts.id)",
     "canon AS (SELECT component, arg_min(id, published_at) AS cluster_id FROM placed GROUP BY 1)",
 ]
+#: From the relevant stories on: deal records, groups of one deal, evidence, scores, the top deals.
+_RUN_DEALS = [
+    "members AS (SELECT id AS article_id, cluster_id, source FROM placed JOIN canon USING (component))",
+    r"""told AS (SELECT id, published_at, url, list_filter(regexp_split_to_array(title, '\s+'), lambda x: x <> '') AS w
+      FROM placed JOIN canon ON id = cluster_id
+      WHERE regexp_matches(title || ' ' || snippet, '(?i)\bthe\b') AND regexp_matches(title || ' ' || snippet, '(?i)\bof\b')
+        AND (length(title) % 7 = 0 OR length(title) % 3 <> 0) AND length(snippet) % 11 <> 0 AND length(snippet) % 2 = 0)""",
+    f"""good AS (SELECT id AS deal_id, id AS cluster_id, w[1] AS acquirer, array_to_string(w[2:4], ' ') AS target,
+        'M&A' AS deal_type, len(w) * 100.0::DOUBLE AS deal_value, 'INR_CRORE' AS currency,
+        NULL::DOUBLE AS stake_pct, published_at AS announced_date, url
+      FROM told WHERE len(w) > 1 AND length(array_to_string(w[2:4], ' ')) > 1
+        AND len({S.distinctive("array_to_string(w[2:4], ' ')")}) > 0)""",
+    *q_deals._identity("SELECT * FROM good"),
+    *S.components(q_deals._NODES, "SELECT a, b FROM pairs", "deal_"),
+    """sized AS (SELECT good.*, coalesce(component, deal_id) AS grp, n AS size
+      FROM good LEFT JOIN deal_comp ON node = deal_id
+      JOIN (SELECT cluster_id, count(*) AS n FROM members GROUP BY 1) USING (cluster_id))""",
+    """best AS (SELECT * FROM sized QUALIFY row_number() OVER (PARTITION BY grp ORDER BY size DESC, announced_date) = 1)""",
+    """moved AS (SELECT DISTINCT m.article_id, m.source, best.deal_id FROM sized JOIN best USING (grp)
+      JOIN members m ON m.cluster_id = sized.cluster_id)""",
+    """rated AS (SELECT best.*, least(0.25::DOUBLE + least((n - 1) * 0.12::DOUBLE, 0.25::DOUBLE), 1.0::DOUBLE) AS credibility_score
+      FROM best JOIN (SELECT deal_id, count(DISTINCT source) AS n FROM moved GROUP BY 1) USING (deal_id))""",
+    f"""top AS (SELECT *, row_number() OVER (ORDER BY score DESC, announced_date) AS rank_pos FROM (
+      SELECT *, {S.badge('credibility_score')} AS confidence, 0.35::DOUBLE * 0.9::DOUBLE + 0.3::DOUBLE * credibility_score
+        + 0.2::DOUBLE * {S.recency('announced_date', '2030-01-01 00:00:00', 3650)} + 0.15::DOUBLE * {S.size_score()} AS score
+      FROM rated) ORDER BY score DESC, announced_date LIMIT {dims.TOP_N})""",
+]
+_RUN_CATEGORY = S.lit("Food" if "Food" in dims.CATEGORIES else dims.CATEGORIES[-1])
+
+
+@query("digest_end_to_end", S.with_views("articles_v", recursive=True, extra=[*_STORIES, *_RUN_DEALS], body=f"""
+    SELECT {_RUN_CATEGORY} AS category, CAST(rank_pos AS INTEGER) AS item_no, deal_id,
+      acquirer || ' takes ' || target AS headline, acquirer || {S.lit(dims.ACQUIRES)} || target || '.' AS summary,
+      url AS primary_source_url, confidence AS badge FROM top"""))
+def digest_end_to_end(spark, sf):
+    run = whole_run(spark, sf)
+    flat = digest.sections_flat(run.tables["sections"])
+    return flat.select("category", "item_no", "deal_id", "headline", "summary",
+                       "primary_source_url", "badge")
+
+
+@query("digest_articles", S.with_views("articles_v", body=f"""
+    SELECT id, any_value({S.canonical_url('url')}) AS url, min(feed_pos) AS feed_pos,
+      any_value(CASE WHEN trim(title) = '' THEN NULL ELSE title END) AS title
+    FROM articles_v GROUP BY id"""))
+def digest_articles(spark, sf):
+    """The articles of a whole run: landed, scanned, accepted, cleaned and de-duplicated."""
+    articles = whole_run(spark, sf).tables["articles"]
+    origin = V.articles_v(spark, sf).groupBy("id").agg(F.min("feed_pos").alias("feed_pos"))
+    return articles.select("id", "url", "title").join(origin, "id")
 
 
 @query("digest_story_membership", S.with_views("articles_v", recursive=True, extra=_STORIES, body="""
@@ -449,7 +481,9 @@ def digest_funnel(spark, sf):
         stats, "_one").drop("_one")
 
 
-@query("export_json_roundtrip")
+@query("export_json_roundtrip", S.with_views("articles_v", recursive=True, extra=[*_STORIES, *_RUN_DEALS], body="""
+    SELECT 'Deal digest' AS title, CAST(rank_pos AS INTEGER) AS rank_pos, top.deal_id, cluster_id, confidence,
+      article_id AS id, arts.url FROM top JOIN moved USING (deal_id) JOIN arts ON arts.id = article_id"""))
 def export_json_roundtrip(spark, sf):
     """The snapshot of a whole run, written as JSON and read back: deals with their evidence."""
     path = exports.export_path(run_dir(spark, "json"), F.lit(V.NOW), spark)

@@ -255,11 +255,12 @@ def with_views(*names: str, body: str, extra: list[str] = (), recursive: bool =
     return (head + ",\n".join(parts) + "\n" if parts else "") + body
 
 
-def components(nodes: str, edges: str) -> list[str]:
-    """CTEs comp(node, component): transitive closure of edges(a, b) from every node."""
+def components(nodes: str, edges: str, name: str = "") -> list[str]:
+    """CTEs comp(node, component): transitive closure of edges(a, b) from every node; their names
+    begin with `name`."""
     return [
-        f"sym AS (SELECT a, b FROM ({edges}) UNION SELECT b, a FROM ({edges}))",
-        f"reach(node, other) AS (SELECT n, n FROM ({nodes}) t(n) UNION "
-        "SELECT r.node, s.b FROM reach r JOIN sym s ON s.a = r.other)",
-        "comp AS (SELECT node, min(other) AS component FROM reach GROUP BY node)",
+        f"{name}sym AS (SELECT a, b FROM ({edges}) UNION SELECT b, a FROM ({edges}))",
+        f"{name}reach(node, other) AS (SELECT n, n FROM ({nodes}) t(n) UNION "
+        f"SELECT r.node, s.b FROM {name}reach r JOIN {name}sym s ON s.a = r.other)",
+        f"{name}comp AS (SELECT node, min(other) AS component FROM {name}reach GROUP BY node)",
     ]

@@ -28,14 +28,17 @@ def parse_feed_date(c: Column) -> Column:
     plain = F.regexp_replace(plain, r" (\d{1,2}:\d{2})(?= |$)", " $1:00")
     plain = F.regexp_replace(plain, r" (?:GMT|UTC)?([+-]\d{2}):?(\d{2})$", " $1$2")
 
-    def with_day(day: str) -> Column:
+    def with_day(text: Column, day: str) -> Column:
         patterns = [f"{day} H:mm:ss zzz", f"{day} H:mm:ss Z", f"{day} H:mm:ss", day, f"{day} h:mm:ss a"]
-        return F.coalesce(*[F.try_to_timestamp(plain, F.lit(p)) for p in patterns])
+        return F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in patterns])
 
-    spelt = F.when(plain.rlike(r"^\d{1,2} "), with_day("d MMM yyyy")).when(
-        plain.rlike(r"^\d{4}/"), with_day("yyyy/M/d")).when(
-        plain.rlike(r"^\d{1,2}/\d{1,2}/\d{4}"), with_day("M/d/yyyy"))
-    return F.coalesce(iso, spelt)
+    def spelt(text: Column) -> Column:
+        return F.when(text.rlike(r"^\d{1,2} "), with_day(text, "d MMM yyyy")).when(
+            text.rlike(r"^\d{4}/"), with_day(text, "yyyy/M/d")).when(
+            text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}"), with_day(text, "M/d/yyyy"))
+
+    # The cleaned text is computed once and named in the lambda, not repeated in every pattern.
+    return F.coalesce(iso, F.transform(F.array(plain), spelt)[0])
 
 
 def normalise_ts(c: Column) -> Column:

@@ -33,5 +33,5 @@ def test_query_matches_its_sql(spark, sf, tables, name):
 
 def test_every_query_but_the_whole_runs_has_a_check():
     missing = set(catalog.QUERIES) - set(catalog.ORACLES)
-    assert missing == {"digest_end_to_end", "export_json_roundtrip", "refresh_run"}
+    assert missing == {"refresh_run"}  # which items the cap takes depends on the landed files
     assert not set(catalog.ORACLES) - set(catalog.QUERIES)
