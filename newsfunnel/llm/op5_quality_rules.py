@@ -1,10 +1,11 @@
 """Quality rules: fixed base rules, then tokeniser fertility with bands per language and script.
 
 Two public vocabularies measure every whole text: characters per byte-level BPE token, entropy of
-those tokens relative to the most it could be, and how many byte-fallback pieces of a second
-vocabulary there are per character and byte piece. For every group (language, script, length class) the quartiles over all rows that pass
-the base rules give the band; a text outside the band is rejected. Small groups use the band of
-their script and length class, then that of the length class.
+those tokens relative to the most it could be, and the share of byte-fallback pieces among the
+pieces of a second vocabulary. For every group (language, script, length class) the quartiles over
+all rows that pass the base rules give the band; a text outside the band is rejected. Small groups
+use the band of their script and length class, then that of the length class. The script is that of
+most letters.
 
 Defined results: null text has no words, so the base rules reject it; a null language is the
 group "und"; null ids are kept as rows; repeated rows are judged one by one; an empty table gives
@@ -32,17 +33,24 @@ _SYMBOL = np.zeros(256, dtype=np.int64)
 _SYMBOL[list(SYMBOLS)] = 1
 _HEAD = np.ones(256, dtype=np.int64)  # bytes that begin a code point
 _HEAD[0x80:0xC0] = 0
-# Script by lead byte of UTF-8 (approximate above two bytes): name -> lead bytes.
+#: First and last code points of the blocks of each script.
 SCRIPTS = {
-    "latin": [*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3, 0xC4, 0xC5, 0xC6],
-    "greek": [0xCE, 0xCF], "cyrillic": [0xD0, 0xD1, 0xD2, 0xD3], "hebrew": [0xD6, 0xD7],
-    "arabic": [0xD8, 0xD9, 0xDA, 0xDB], "indic": [0xE0], "cjk": [*range(0xE3, 0xEA)],
-    "hangul": [0xEA, 0xEB, 0xEC, 0xED],
+    "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0x1E00, 0x1EFF)],
+    "greek": [(0x370, 0x3FF), (0x1F00, 0x1FFF)], "cyrillic": [(0x400, 0x52F)], "armenian": [(0x530, 0x58F)],
+    "hebrew": [(0x590, 0x5FF)], "arabic": [(0x600, 0x6FF), (0x750, 0x77F), (0x8A0, 0x8FF)],
+    "devanagari": [(0x900, 0x97F)], "bengali": [(0x980, 0x9FF)], "gurmukhi": [(0xA00, 0xA7F)],
+    "gujarati": [(0xA80, 0xAFF)], "odia": [(0xB00, 0xB7F)], "tamil": [(0xB80, 0xBFF)], "telugu": [(0xC00, 0xC7F)],
+    "kannada": [(0xC80, 0xCFF)], "malayalam": [(0xD00, 0xD7F)], "sinhala": [(0xD80, 0xDFF)],
+    "thai": [(0xE00, 0xE7F)], "lao": [(0xE80, 0xEFF)], "tibetan": [(0xF00, 0xFFF)], "myanmar": [(0x1000, 0x109F)],
+    "georgian": [(0x10A0, 0x10FF)], "hangul": [(0x1100, 0x11FF), (0xAC00, 0xD7AF)],
+    "ethiopic": [(0x1200, 0x137F)], "khmer": [(0x1780, 0x17FF)], "kana": [(0x3040, 0x30FF)],
+    "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x3FFFF)],
 }
 _SCRIPT_NAMES = ["none", *SCRIPTS]
-_SCRIPT = np.zeros(256, dtype=np.int64)
-for _i, _bytes in enumerate(SCRIPTS.values(), 1):
-    _SCRIPT[_bytes] = _i
+_SCRIPT = np.zeros(0x40001, dtype=np.uint8)  # all further code points share the last place
+for _i, _blocks in enumerate(SCRIPTS.values(), 1):
+    for _first, _last in _blocks:
+        _SCRIPT[_first:_last + 1] = _i
 
 _FIELDS = [
     ("doc_id", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), ("word_chars", pa.int64()),
@@ -101,19 +109,22 @@ def _measure(batches, byte_path: str | None, piece_path: str | None):
             heads = np.concatenate([[0], np.cumsum(_HEAD[data])])
             word_heads = np.concatenate([[0], np.cumsum(heads[ends] - heads[starts])])
             symbols = np.concatenate([[0], np.cumsum(_SYMBOL[data])])
+            points = np.frombuffer(
+                data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), dtype="<u4")
+            scripts = _SCRIPT[np.minimum(points, 0x40000)]
             for r in range(chunk.rows):
                 a, b = int(chunk.offsets[r]), int(chunk.offsets[r + 1])
                 i, j = int(splits[r]), int(splits[r + 1])
                 text = texts[chunk.first + r].as_py() or ""
                 ids = np.frombuffer(tokens.packed(text), dtype="<u4")
-                fallback = pieces.fallback(text)
-                script = np.bincount(_SCRIPT[data[a:b]], minlength=len(_SCRIPT_NAMES))
+                n_pieces, fallback = pieces.counts(text)
+                script = np.bincount(scripts[heads[a]:heads[b]], minlength=len(_SCRIPT_NAMES))
                 script[0] = 0
                 row = (
                     j - i, int(word_heads[j] - word_heads[i]), int(symbols[b] - symbols[a]),
                     duplicate_lines(text), repeated_words(h[i:j]),
                     _SCRIPT_NAMES[int(script.argmax())], len(ids), len(text) / max(1, len(ids)),
-                    token_entropy(ids), fallback / max(1, fallback + len(text)),
+                    token_entropy(ids), fallback / max(1, n_pieces),
                 )
                 for column, value in zip(columns, row):
                     column.append(value)

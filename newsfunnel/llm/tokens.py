@@ -63,31 +63,47 @@ class ByteBpe:
 
 
 class PieceBpe:
-    """Byte-fallback pieces of a vocabulary with byte fallback. Which characters fall back, and
-    into how many bytes, depends on the character alone, so each is asked for once."""
+    """Pieces of a vocabulary with byte fallback. Its pieces never run across the mark that a single
+    space becomes, and a text begins with such a mark: so texts are cut there, the space is left out,
+    and every distinct word is encoded once per worker."""
 
     def __init__(self, path: str | None = None):
         import sentencepiece
 
         self._model = sentencepiece.SentencePieceProcessor(
             model_file=path or public_tokenizers.path(PIECE_BPE))
-        self._pieces: dict[str, int] = {}
+        self._bytes = bytes(self._model.is_byte(i) for i in range(self._model.get_piece_size()))
+        # Two generations, as above; both numbers of a word in one.
+        self._cache: dict[str, int] = {}
+        self._old: dict[str, int] = {}
 
-    def _ask(self, character: str) -> int:
-        out = sum(self._model.is_byte(i) for i in self._model.encode(character))
-        self._pieces[character] = out
+    def _word(self, word: str) -> int:
+        out = self._old.get(word)
+        if out is None:
+            ids = self._model.encode(word)
+            fell = self._bytes
+            out = len(ids) << 32 | sum([fell[i] for i in ids])
+        if len(word) <= CACHED_CHARS:
+            if len(self._cache) >= CACHE_PIECES:
+                self._old, self._cache = self._cache, {}
+            self._cache[word] = out
         return out
 
-    def fallback(self, text: str) -> int:
-        """Byte pieces that the visible characters of `text` fall back to."""
-        out = 0
-        for c in set(text):
-            n = self._pieces.get(c)
+    def counts(self, text: str) -> tuple[int, int]:
+        """(pieces, how many of them are bytes that characters fall back to)."""
+        if not text:
+            return 0, 0
+        make, get = self._word, self._cache.get
+        pieces = _CUT.split(text)
+        total = make(pieces[0])
+        for p in pieces[1:]:
+            p = p[1:]
+            n = get(p)
             if n is None:
-                n = 0 if c.isspace() else self._ask(c)
-            if n:
-                out += n * text.count(c)
-        return out
+                n = make(p)
+                get = self._cache.get
+            total += n
+        return total >> 32, total & 0xFFFFFFFF
 
 
 @functools.cache

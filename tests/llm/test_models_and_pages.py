@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -271,3 +272,63 @@ def test_every_language_has_its_share_of_the_samples(spark):
     got = _sample_each(rows, sizes, {False: 50, True: 20}).join(rows, "key").groupBy("lang", "calibrates").count().collect()
     assert {(r["lang"], r["calibrates"]): r["count"] for r in got} == {
         ("aa", False): 50, ("aa", True): 20, ("bb", False): 7, ("bb", True): 3}
+
+
+def test_fallback_is_that_of_whole_texts():
+    import public_tokenizers
+    import sentencepiece
+
+    from newsfunnel.llm.tokens import PIECE_BPE, PieceBpe
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(PIECE_BPE))
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()
+    rng = random.Random(5)
+    odd = "a b\n\t  　 ﬁé漢ก\U0001f600 \r<s> x.,"
+    texts += ["".join(rng.choice(odd) for _ in range(rng.randrange(0, 40))) for _ in range(3000)] + ["", " ", "  a", " a  b "]
+    ours = PieceBpe()
+    for t in texts:
+        ids = model.encode(t)
+        assert ours.counts(t) == (len(ids), sum(map(model.is_byte, ids))), repr(t)
+
+
+def test_scripts_by_code_points(spark):
+    words_of = {"thai": "สวัสดี", "devanagari": "नमस्ते", "tamil": "வணக்கம்", "georgian": "გამარჯობა", "ethiopic": "ሰላም",
+                "han": "漢字", "kana": "ひらがな", "hangul": "한국어", "cyrillic": "привет", "latin": "hello", "none": "12 34"}
+    df = spark.createDataFrame([(i, f"{t} 1 {t}", "x") for i, t in enumerate(words_of.values())], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["script"] for r in rules.quality_rules(df).collect()}
+    assert [got[i] for i in range(len(words_of))] == list(words_of)
+
+
+def test_bands_and_kept_against_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = rules.quality_rules(docs).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
+    from newsfunnel.llm.tokens import ByteBpe
+
+    bpe = ByteBpe()
+    text = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    size = {d: int(np.floor(np.log2(max(1, len(bpe.packed(t)) // 4)))) for d, t in text.items()}
+    got["size"] = got["doc_id"].map(size)
+    measures = {"chars_per_token": 0.1, "token_entropy": 0.02, "byte_fallback_share": 0.01}
+    good = got[~got["base_failed"]]
+
+    def band(rows, m, slack):
+        v = sorted(rows[m])
+        low, high = v[-(-len(v) // 4) - 1], v[-(-3 * len(v) // 4) - 1]
+        wide = max(2.0 * (high - low), slack)
+        return low - wide, high + wide
+
+    groups = []
+    for keys, least in ((["lang", "script", "size"], 100), (["script", "size"], 100), (["size"], 1)):
+        groups.append((keys, {k: g for k, g in good.groupby(keys) if len(g) >= least}))
+    wrong = 0
+    for row in good.itertuples():
+        for keys, found in groups:
+            rows = found.get(tuple(getattr(row, k) for k in keys))
+            if rows is not None:
+                break
+        else:
+            assert row.kept
+            continue
+        inside = all(a - 1e-12 <= getattr(row, m) <= b + 1e-12 for m, slack in measures.items() for a, b in [band(rows, m, slack)])
+        wrong += inside != row.kept
+    assert wrong == 0 and not got[got["base_failed"]]["kept"].any() and 0.8 < good["kept"].mean() < 1
