@@ -5,7 +5,9 @@ mostly negative. A linear scan (Kadane) finds the contiguous region with the gre
 inside it that are not content (menus, adverts, notices, forms, comments) are left out. A class, id or
 role says so only if it names the element, not what the element has or lacks, and not if the elements
 of that name hold most of the page's text (of its article's, if it marks one); nor if the page's only
-marked article is inside and they hold more than stands outside all chrome.
+marked article is inside and they hold more than stands outside all chrome. Inside a marked article the
+whole name must say so. Of several marked articles the one with most words counts, and of an article in
+a `main` element that holds less than half of its words, the `main` element.
 
 Weights are learned from labelled pages: those that mark their article themselves (an `article`
 or `main` element). Per token kind (tag, or word within an element of some kind) the counts inside
@@ -30,11 +32,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from newsfunnel.llm.textkit import map_arrow, table
 
 #: Elements by what HTML says of them.
-RAW = ("script", "style", "template", "noscript", "textarea", "title", "svg", "iframe", "select", "canvas", "math", "object")
+RAW = ("script", "style", "template", "noscript", "textarea", "title", "svg", "iframe", "select", "canvas", "annotation",
+       "annotation-xml")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 INLINE = ("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img",
           "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong",
-          "sub", "sup", "time", "tt", "u", "var", "wbr", "br")
+          "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "object", "math", "mfrac", "mi", "mn", "mo", "mover", "mroot",
+          "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtext", "munder", "munderover", "semantics")
 CHROME = ("nav", "aside", "footer", "header", "form", "menu", "dialog", "button", "head")
 ARTICLE = ("article", "main")
 #: Parts of class, id and role names that sites use for what is not the article.
@@ -45,6 +49,12 @@ CHROME_NAMES = (
     "respond", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar",
     "widget", "complementary", "contentinfo", "search", "login",
 )
+#: Parts of names that say nothing about an element beside those.
+PLAIN_NAMES = (
+    "area", "bar", "block", "bottom", "box", "button", "buttons", "container", "content", "form", "group", "holder",
+    "inner", "item", "items", "left", "link", "links", "list", "module", "outer", "panel", "posts", "right", "row",
+    "section", "slot", "stories", "top", "unit", "wrap", "wrapper", "articles",
+)
 #: A block element opened inside one of these closes it (what HTML's optional end tags mean).
 _P_ENDS = frozenset((
     "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1",
@@ -64,12 +74,16 @@ OUTSIDE = -3.0  # weight of a word outside the article of a page that marks one
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+    # A quote only opens a value right after an equals sign; elsewhere it is a character like others.
+    r"|<(/?)([A-Za-z][^\s/>]*)((?:=\s*+\"[^\"]*+(?:\"|\Z)|=\s*+'[^']*+(?:'|\Z)|[^>=]++|=)*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*/?>", re.I) for t in RAW}
 _CHROME_SET = frozenset(CHROME_NAMES)
+_WHOLE_SET = _CHROME_SET.union(PLAIN_NAMES)
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+_BORDERS = frozenset(_P_ENDS | {"li", "td"})  # an inline end tag does not reach out of these
 _CHROME_TAGS = frozenset(CHROME)
 
 
@@ -94,6 +108,8 @@ def _names(tag: str, attributes: str, inside_article: bool) -> list[tuple[str, b
             if not _MODIFIERS.isdisjoint(parts[:-1]):
                 continue
             found = _CHROME_SET.intersection(parts)
+            if inside_article and not _WHOLE_SET.issuperset(parts):
+                continue
             if found and not (found == {"header"} and (inside_article or not _HEADED.isdisjoint(parts))):
                 out.append((name, len(parts) == 1))
     return out
@@ -141,16 +157,64 @@ def tokens_of(page: str) -> list[tuple[str, str, bool, bool]]:
     Kinds of text are WORDS. A tag that does not end its block has kind inline or link."""
     not_chrome: set[str] = set()
     while True:
-        out, names = _scan(page, not_chrome)
+        out, names, where = _scan(page, not_chrome)
         wrong = names.wrong() - not_chrome
         if not wrong:
-            return out
+            break
         not_chrome |= wrong  # each turn adds a name of the page
+    chosen = _one_article(out, where)
+    return [(kind, text, inside and at in chosen, chrome) for (kind, text, inside, chrome), at in zip(out, where)]
+
+
+def _one_article(out: list, where: list[tuple[int, int]]) -> set[tuple[int, int]]:
+    """The places (main element, article; 0 for none) that belong to the page's article."""
+    mains, articles = {}, {}
+    for (kind, text, inside, chrome), (main, article) in zip(out, where):
+        if inside and not chrome and kind in WORDS:
+            n = len(text.split())
+            mains[main] = mains.get(main, 0) + n
+            if article:
+                articles[main, article] = articles.get((main, article), 0) + n
+    places = set(where)
+    best = max(articles, key=lambda k: (articles[k], -k[1]), default=None)
+    main = max((m for m in mains if m), key=lambda m: (mains[m], -m), default=0)
+    if best is not None and 2 * articles[best] >= mains.get(main, 0):
+        return {best}
+    return {p for p in places if p[0] == main} if main else places
+
+
+class _Stack:
+    """Open elements, with the places of each tag, so that no question walks through all of them."""
 
-
-def _scan(page: str, not_chrome: set[str]) -> tuple[list[tuple[str, str, bool, bool]], _Names]:
+    def __init__(self):
+        self.tags: list[tuple[str, bool]] = []
+        self.places: dict[str, list[int]] = {}
+        self.borders: list[int] = []
+
+    def push(self, tag: str, chrome: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        if tag in _BORDERS:
+            self.borders.append(len(self.tags))
+        self.tags.append((tag, chrome))
+
+    def pop(self) -> tuple[str, bool]:
+        tag, chrome = self.tags.pop()
+        self.places[tag].pop()
+        if tag in _BORDERS:
+            self.borders.pop()
+        return tag, chrome
+
+    def top(self, *tags: str) -> int:
+        """Place of the innermost open element of `tags`, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+
+def _scan(page: str, not_chrome: set[str]):
+    """(tokens, what stands below names, and for every token the main element and article it is in)."""
     out: list[tuple[str, str, bool, bool]] = []
-    stack: list[tuple[str, bool]] = []  # (tag, chrome)
+    where: list[tuple[int, int]] = []
+    main = article = counted = 0  # numbers of the outermost open ones, and how many there were
+    stack = _Stack()
     below: list[tuple[int, list[str], bool]] = []  # elements with chrome names: depth, names, in an article
     tally = _Names()
     chrome = articles = sure = 0  # sure: chrome by the element itself
@@ -165,28 +229,35 @@ def _scan(page: str, not_chrome: set[str]) -> tuple[list[tuple[str, str, bool, b
                     tally.total[of] += n
                     for name in {x for _, names, inside in below if inside or not of for x in names}:
                         tally.held[of][name] = tally.held[of].get(name, 0) + n
-            tags = [t for t, _ in stack]
             if chrome:
                 kind = "word_chrome"
-            elif "a" in tags:
+            elif stack.top("a") >= 0:
                 kind = "word_link"
-            elif any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t in tags):
+            elif stack.top(*_HEADINGS) >= 0:
                 kind = "word_heading"
             else:
-                kind = "word_list" if "li" in tags else "word"
-            out.append((kind, entities.unescape(raw), articles > 0, chrome > 0))
+                kind = "word_list" if stack.top("li") >= 0 else "word"
+            add(kind, entities.unescape(raw), articles > 0, chrome > 0)
+
+    def add(*token) -> None:
+        out.append(token)
+        where.append((main, article))
 
     def pop_to(depth: int) -> None:
-        nonlocal chrome, articles, sure
-        while len(stack) > depth:
+        nonlocal chrome, articles, sure, main, article
+        while len(stack.tags) > depth:
             tag, was = stack.pop()
-            if below and below[-1][0] == len(stack):
+            if below and below[-1][0] == len(stack.tags):
                 below.pop()
-            if by_itself and by_itself[-1] == len(stack):
+            if by_itself and by_itself[-1] == len(stack.tags):
                 by_itself.pop()
                 sure -= 1
             chrome -= was
             articles -= tag in ARTICLE and not was
+            if tag == "main" and not stack.places["main"]:
+                main = 0
+            if tag == "article" and not stack.places["article"]:
+                article = 0
 
     at, size = 0, len(page)
     while at < size:
@@ -200,52 +271,52 @@ def _scan(page: str, not_chrome: set[str]) -> tuple[list[tuple[str, str, bool, b
             continue  # comment, doctype or processing instruction
         tag, attributes = m[2].lower(), m[3] or ""
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            depth = stack.top(tag)
             # An inline end tag does not reach out of its block.
-            if depth is not None and not (tag in INLINE and any(t in _P_ENDS or t in ("li", "td") for t, _ in stack[depth + 1:])):
-                was, inside = chrome > 0, articles > 0
+            if depth >= 0 and not (tag in INLINE and stack.borders and stack.borders[-1] > depth):
+                was, inside, at_end = chrome > 0, articles > 0, (main, article)
                 pop_to(depth)
                 out.append((kind_of(tag, was), "", inside, was))
+                where.append(at_end)
             continue
         if tag in _P_ENDS:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if depth is not None and not any(t in ("table", "td", "button") for t, _ in stack[depth:]):
+            depth = stack.top("p")
+            if depth >= 0 and stack.top("table", "td", "button") < depth:
                 pop_to(depth)
         elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             same = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)
-            stop = ("ul", "ol", "dl", "table")
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in stop:
-                    break
-                if stack[i][0] in same:
-                    pop_to(i)
-                    break
+            depth = stack.top(*same)
+            if depth >= 0 and stack.top("ul", "ol", "dl", "table") < depth:
+                pop_to(depth)
         itself = _is_chrome(tag, attributes, articles > 0)
         names = [(x, alone) for x, alone in _names(tag, attributes, articles > 0) if x not in not_chrome]
         was = itself or bool(names)
         if tag in RAW:
             end = _RAW_END[tag].search(page, at)
             at = end.end() if end else size
-            out.append((kind_of(tag, chrome > 0), "", articles > 0, chrome > 0))
+            add(kind_of(tag, chrome > 0), "", articles > 0, chrome > 0)
             continue
         if tag not in VOID and not attributes.endswith("/"):
             if itself:
-                by_itself.append(len(stack))
+                by_itself.append(len(stack.tags))
                 sure += 1
             elif names:
-                below.append((len(stack), [x for x, _ in names], articles > 0))
+                below.append((len(stack.tags), [x for x, _ in names], articles > 0))
                 tally.alone |= names
             if tag in ARTICLE and not sure:
                 tally.marked |= not (chrome or was)
                 tally.around.update(x for _, open_names, _ in below for x in open_names)
-            stack.append((tag, was))
+            if tag in ARTICLE and stack.top(tag) < 0:
+                counted += 1
+                main, article = (counted, article) if tag == "main" else (main, counted)
+            stack.push(tag, was)
             chrome += was
             articles += tag in ARTICLE and not was
         if tag == "br":
             text(" ")  # white space within its block
         else:
-            out.append((kind_of(tag, was or chrome > 0), "", articles > 0, was or chrome > 0))
-    return out, tally
+            add(kind_of(tag, was or chrome > 0), "", articles > 0, was or chrome > 0)
+    return out, tally, where
 
 
 def best_region(scores: np.ndarray) -> tuple[int, int]:
@@ -266,7 +337,9 @@ def best_region(scores: np.ndarray) -> tuple[int, int]:
 def scores_of(tokens, weights: dict[str, float]) -> np.ndarray:
     marked = any(inside for _, _, inside, _ in tokens)
     return np.array([
-        (len(t.split()) * (OUTSIDE if marked and not inside and not chrome else weights[k])) if k in WORDS else weights[k]
+        (len(t.split()) * (OUTSIDE if marked and not inside and not chrome else weights[k])) if k in WORDS
+        # Tags of the marked article hardly count: its tables and lists belong to it.
+        else max(weights[k], TAG_BOUNDS[1]) if inside else weights[k]
         for k, t, inside, chrome in tokens])
 
 

@@ -332,3 +332,52 @@ def test_bands_and_kept_against_plain_python(spark):
         inside = all(a - 1e-12 <= getattr(row, m) <= b + 1e-12 for m, slack in measures.items() for a, b in [band(rows, m, slack)])
         wrong += inside != row.kept
     assert wrong == 0 and not got[got["base_failed"]]["kept"].any() and 0.8 < good["kept"].mean() < 1
+
+
+def article_of(inner, before="", after=""):
+    return f"<html><body><nav><a href=/>Home</a></nav>{before}<article>{inner}</article>{after}<footer>Imprint and terms</footer></body></html>"
+
+
+BODY = "<p>The first paragraph of the article has a good number of plain words in it.</p>"
+BODY_TEXT = "The first paragraph of the article has a good number of plain words in it."
+
+
+@pytest.mark.parametrize("inner,text", [
+    ("<p title=it's>One two three four five six.</p><p>and don't stop here today my friend</p>",
+     "One two three four five six.\nand don't stop here today my friend"),
+    (BODY + "<p class='share-price'>Shares rose by nine percent on Monday.</p>", BODY_TEXT + "\nShares rose by nine percent on Monday."),
+    (BODY + "<div class='social-policy'>Welfare was the topic of the day.</div>", BODY_TEXT + "\nWelfare was the topic of the day."),
+    (BODY + "<div id='search-engines'>Crawlers visit pages every night.</div>", BODY_TEXT + "\nCrawlers visit pages every night."),
+    (BODY + "<div class='share-buttons'>Share Tweet Mail</div>", BODY_TEXT),
+    (BODY + "<div class='newsletter-signup'>Subscribe now</div>", BODY_TEXT),
+    (BODY + "<table><tr><td>a</td><td>1</td></tr><tr><td>b</td><td>2</td></tr></table>", BODY_TEXT + "\na\n1\nb\n2"),
+    ("<p>The sum <math><mi>x</mi><mo>+</mo><mi>y</mi></math> of both is what we want to know here.</p>",
+     "The sum x+y of both is what we want to know here."),
+    ('<p data-x="a > b" title = \'c"d\'>Quoted values may hold brackets and quotes of the other kind.</p>',
+     "Quoted values may hold brackets and quotes of the other kind."),
+])
+def test_article_text_stays_whole(inner, text):
+    assert pages.extract(article_of(inner), pages.DEFAULT) == text
+
+
+def test_teasers_marked_as_articles_are_not_the_article():
+    teasers = "<section><h2>More</h2>" + "<article><h3>Other news</h3><p>Read this short teaser too.</p></article>" * 3 + "</section>"
+    assert pages.extract(article_of(BODY * 3, after=teasers), pages.DEFAULT) == "\n".join([BODY_TEXT] * 3)
+    wrapped = f"<body><main><article>{BODY * 3}</article>{teasers}</main></body>"
+    assert pages.extract(wrapped, pages.DEFAULT) == "\n".join([BODY_TEXT] * 3)
+    only_main = f"<body><main>{BODY * 3}{teasers}</main></body>"
+    assert pages.extract(only_main, pages.DEFAULT).startswith("\n".join([BODY_TEXT] * 3))
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<p><button>", "<b>x", "<li>", "<td>y", "<ul><li>z", "</p><span>", "<article>"])
+def test_unclosed_tags_take_linear_time(unit):
+    import time
+
+    start = time.time()
+    pages.extract("<body><article>" + unit * 100_000 + BODY, pages.DEFAULT)
+    assert time.time() - start < 15
+
+
+def test_a_very_long_page():
+    page = article_of(BODY * 40_000)  # 3 MB
+    assert pages.extract(page, pages.DEFAULT) == "\n".join([BODY_TEXT] * 40_000)
