@@ -40,7 +40,7 @@ BEST = 2000
 WITHIN = 80  # percent of its occurrences that a longer phrase must hold to replace a phrase
 BURST = 4096  # keys of a container
 MAX_KEYS = 400_000  # keys of a task's trie
-MAX_WORDS_HELD = 150_000  # distinct words a task counts before it passes them on
+MAX_WORDS_HELD = 250_000  # distinct words a task counts before it passes them on
 PARTITION_BYTES = 24 << 20  # of text per prefix partition
 RUN_KEYS = 16_384  # keys of one row of a run
 BITS = 27  # of the largest bit table: 16 MB
@@ -67,9 +67,6 @@ class Texts:
             seen = np.concatenate([[0], np.cumsum(_SEPARATORS[self.low], dtype=np.int64)])
             self.joined[:-1] = (seen[self.starts[1:]] == seen[self.ends[:-1]]) & (self.row[1:] == self.row[:-1])
 
-    def text(self, i: int) -> str:
-        return self.low[self.starts[i]:self.ends[i]].tobytes().decode("utf-8", "surrogatepass")
-
 
 def parts(batch: pa.RecordBatch) -> Iterator[Texts]:
     """Texts of (lang, text); each language salts the hashes of its words."""
@@ -91,26 +88,30 @@ _WORDS_DDL = "lang string, h long, word string, n long"
 
 
 def _count_words(batches):
-    held: dict[tuple[str, int], list] = {}
+    held: dict[int, int] = {}  # hash -> count, in the order of `named`
+    named: tuple[list, list] = ([], [])  # languages and words
 
     def out():
-        rows = [(lang, h, *v) for (lang, h), v in held.items()]
-        held.clear()
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64()))],
-            names=["lang", "h", "word", "n"])
+        rows = pa.RecordBatch.from_arrays([
+            pa.array(named[0], pa.string()), pa.array(list(held), pa.int64()), pa.array(named[1], pa.string()),
+            pa.array(list(held.values()), pa.int64())], names=["lang", "h", "word", "n"])
+        for x in (held, *named):
+            x.clear()
+        return rows
 
     for batch in batches:
         langs = batch.column(0).to_pylist()
         for part in parts(batch):
             unique, first, count = np.unique(signed(part.hash), return_index=True, return_counts=True)
-            for h, i, n in zip(unique.tolist(), first.tolist(), count.tolist()):
-                key = (langs[part.row[i]], h)
-                have = held.get(key)
-                if have is None:
-                    held[key] = [part.text(i), n]
+            raw = part.low.tobytes()
+            of, begin, end = (x[first].tolist() for x in (part.row, part.starts, part.ends))
+            for h, n, row, a, b in zip(unique.tolist(), count.tolist(), of, begin, end):
+                if h in held:
+                    held[h] += n
                 else:
-                    have[1] += n
+                    held[h] = n
+                    named[0].append(langs[row])
+                    named[1].append(raw[a:b].decode("utf-8", "surrogatepass"))
             if len(held) >= MAX_WORDS_HELD:
                 yield out()
     yield out()
@@ -166,14 +167,19 @@ class Trie:
         begins = [0, *cuts.tolist()] if len(first) else []
         ends = [*cuts.tolist(), len(first)]
         heads, keys, counts = first.tolist(), rest.tolist(), count.tolist()
+        root, size = self.root, self.size
         for a, b in zip(begins, ends):
             w = heads[a]
-            below = self.root.get(w)
+            below = root.get(w)
             if below is None:
-                below = self.root[w] = {}
-                self.size[w] = 0
-            self.root[w], new = self._put(below, keys[a:b], counts[a:b], self.depth - 1)
-            self.size[w] += new
+                below = root[w] = {}
+                size[w] = 0
+            if b == a + 1 and below.__class__ is dict and len(below) < BURST:  # one phrase of a small subtree
+                k, new = keys[a], keys[a] not in below
+                below[k] = counts[a] if new else below[k] + counts[a]
+            else:
+                root[w], new = self._put(below, keys[a:b], counts[a:b], self.depth - 1)
+            size[w] += new
             self.keys += new
 
     def _put(self, below: dict, keys: list, counts: list, left: int) -> tuple[dict, int]:
@@ -211,27 +217,26 @@ class Trie:
                 node[w] = self._burst(child, left - 1)
         return node
 
-    def _walk(self, below: dict, left: int, path: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _gather(self, below: dict, left: int, path: int, keys: list, counts: list) -> None:
         if not isinstance(below, Node):
-            keys = np.fromiter(below.keys(), dtype=np.int64, count=len(below))
-            yield keys + path, np.fromiter(below.values(), dtype=np.int64, count=len(below))
+            keys.extend([path + k for k in below] if path else below)
+            counts.extend(below.values())
             return
         for w, child in below.items():
-            yield from self._walk(child, left - 1, path + (w << _ID_BITS * (left - 1)))
+            self._gather(child, left - 1, path + (w << _ID_BITS * (left - 1)), keys, counts)
 
     def take(self, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Take out the largest subtrees until `keep` keys stay: (first, rest, count)."""
-        first, rest, count = [], [], []
+        first, sizes, rest, count = [], [], [], []
         for w in sorted(self.size, key=self.size.get, reverse=True):
             if self.keys <= keep:
                 break
-            for keys, n in self._walk(self.root.pop(w), self.depth - 1, 0):
-                first.append(np.full(len(keys), w, dtype=np.int64))
-                rest.append(keys)
-                count.append(n)
-            self.keys -= self.size.pop(w)
-        none = [np.zeros(0, dtype=np.int64)]
-        return tuple(np.concatenate(none + x) for x in (first, rest, count))
+            self._gather(self.root.pop(w), self.depth - 1, 0, rest, count)
+            first.append(w)
+            sizes.append(self.size.pop(w))
+            self.keys -= sizes[-1]
+        words_, sizes, rest, count = (np.array(x, dtype=np.int64) for x in (first, sizes, rest, count))
+        return np.repeat(words_, sizes), rest, count
 
 
 class Counter:
