@@ -213,7 +213,7 @@ def _train(batches):
     rows: dict[int, list] = {0: [], 1: []}
     for batch in batches:
         for task, y, f in zip(*(batch.column(i) for i in range(3))):
-            rows[task.as_py()].append((y.as_py(), np.append(f.values.to_numpy(), 1 << BITS)))
+            rows[task.as_py()].append((y.as_py(), np.append(f.values.to_numpy(), np.int32(1 << BITS))))
     out = []
     for task in (0, 1):
         # Sorted: the order in which tasks delivered the sample has no effect.
