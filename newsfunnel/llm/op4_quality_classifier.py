@@ -15,12 +15,15 @@ but wordless texts; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsfunnel.llm.textkit import (
-    NOT_SPACE, chunks, gram_hashes, hash_sample, list_array, map_arrow, mix, range_hashes, row_key, stage, table, words,
+    NOT_SPACE, chunks, give_back, gram_hashes, hash_sample, list_array, map_arrow, mix, range_hashes, row_key, small_batches,
+    stage, table, words,
 )
 from newsfunnel.session import ship_package
 
@@ -217,7 +220,7 @@ def _train(batches):
     out = []
     for task in (0, 1):
         # Sorted: the order in which tasks delivered the sample has no effect.
-        rows[task].sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
+        rows[task].sort(key=lambda r: (r[0], len(r[1]), hashlib.md5(r[1].tobytes()).digest()))
         w = train_linear(rows[task]) if rows[task] else np.append(np.zeros(1 << BITS), -3.0)
         used = np.flatnonzero(w)
         out.append((task, used, w[used]))
@@ -237,6 +240,7 @@ def _scores(texts: pa.Array, models) -> pa.Array:
                     out.append(1.0 if out is scores[0] else 0.0)
                 else:
                     out.append(float(1 / (1 + np.exp(-np.clip(w[f].sum() + w[-1], -40, 40)))))
+    give_back()
     return pa.StructArray.from_arrays([pa.array(s, pa.float64()) for s in scores], names=["junk", "abuse"])
 
 
@@ -310,6 +314,7 @@ def classify(
     """`docs` with p_junk, p_abuse and keep. Only the texts go to Python, once; rows stay where they are."""
     model = train(docs, labels, train_rows, id_col=id_col, text_col=text_col)
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     score = F.arrow_udf(lambda texts: _scores(texts, model.value), "struct<junk:double,abuse:double>").asNondeterministic()
     names = [c for c in docs.columns if c not in ("p_junk", "p_abuse", "keep")]
     return docs.select(*names, score(F.col(text_col).cast("string")).alias("p_junk")).select(

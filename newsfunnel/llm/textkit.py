@@ -6,6 +6,7 @@ above 0x7F only, so an ASCII word class works byte by byte on UTF-8.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,11 +45,25 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Workers wait for later tasks beside the executor's heap, and
+    what one task freed would stay with its worker."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """`mapInArrow` with this package available to the workers, over batches of bounded bytes."""
     ship_package(df.sparkSession)
     small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def task(batches):
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(task, schema)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
