@@ -216,3 +216,24 @@ def test_fragments_in_other_documents_take_no_partner(spark):
             texts.append((10 * n + i, " ".join(words(rng, 30, 10**9) + p + words(rng, 30, 10**9))))
         want |= {(10 * n + 2, 30, 90, False), (10 * n + 3, 30, 90, True)}
     assert found_of(spark, texts) == want
+
+
+def test_rows_that_share_an_id_are_searched_and_cut(spark):
+    rng = random.Random(11)
+    one, two, fresh = (words(rng, 80, 10**9) for _ in range(3))
+    long = words(rng, 30, 10**9) + one + words(rng, 30, 10**9)
+    second = words(rng, 25, 10**9) + two
+    rows = [(1, " ".join(one)), (1, " ".join(one)), (2, " ".join(long)), (3, " ".join(fresh)), (3, " ".join(second)),
+            (3, " ".join(second)), (4, " ".join(two + fresh)), (None, " ".join(one)), (5, None), (5, "")]
+    df = spark.createDataFrame(rows_of(rows), SCHEMA)
+    spans = passage_spans(repeated_passages(df))
+    got = {(r["doc_id"], r["start_word"], r["end_word"], r["copy"], r["text_key"] is None) for r in spans.collect()}
+    assert got == {(1, 0, 80, False, False), (2, 30, 110, True, True), (3, 0, 80, False, False), (3, 25, 105, False, False),
+                   (4, 0, 160, True, True)}
+    kept = sorted((r["doc_id"], " ".join(r["text"].split())) for r in without_copies(df.filter("text != '' and doc_id > 0"), spans).collect())
+    assert kept == sorted([*rows[:2], (2, " ".join(long[:30] + long[110:])), *rows[3:6]])
+    # Different texts of one id: the first in the order of their keys keeps what they share.
+    df = spark.createDataFrame(rows_of([(7, " ".join(one + fresh[:20])), (7, " ".join(fresh[30:60] + one))]), SCHEMA)
+    spans = passage_spans(repeated_passages(df))
+    assert sorted((r["doc_id"], r["other_doc_id"], r["copy"]) for r in spans.collect()) == [(7, 7, False), (7, 7, True)]
+    assert sorted(len(r["text"].split()) for r in without_copies(df, spans).collect()) in ([20, 110], [30, 100])
