@@ -39,6 +39,21 @@ def test_components_chain_star_and_loops(spark):
     assert got == expected_groups({n for e in proper for n in e}, proper)
 
 
+def test_components_by_contraction(spark, monkeypatch):
+    """The same groups, and finished components are not written again in every round."""
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 300)]
+    edges += [(rng.randrange(2000, 2600), rng.randrange(2000, 2600)) for _ in range(400)]
+    edges += [(3000 + 2 * i, 3001 + 2 * i) for i in range(300)]
+    monkeypatch.setattr(components, "CONTRACT_ABOVE", 20)
+    sizes, stored = [], components._stored
+    monkeypatch.setattr(components, "_stored", lambda e: (lambda out: (sizes.append(out[2]["n"]), out)[1])(stored(e)))
+    got = linked_groups(spark, spark.createDataFrame(edges, "a bigint, b bigint"))
+    proper = [e for e in edges if e[0] != e[1]]
+    assert got == expected_groups({n for e in proper for n in e}, proper)
+    assert sum(sizes[1:]) < 2 * sizes[0]
+
+
 def test_components_of_nothing(spark):
     assert components.connected_components(
         spark.createDataFrame([], "a string, b string")).count() == 0
