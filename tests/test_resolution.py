@@ -147,6 +147,18 @@ def vectors(spark, mat, kind="float"):
     return spark.createDataFrame(rows, f"id string, embedding array<{kind}>")
 
 
+def test_a_crowded_cell_is_cut_into_equal_keys(spark, monkeypatch):
+    """The largest join key has as many tile pairs whether its cell has few tiles or many."""
+    monkeypatch.setattr(cosine, "BLOCK_TILES", 4)
+    for n in (8, 96):
+        tiles = spark.range(n).select(
+            F.format_string("t%04d", "id").alias("tile"), F.lit(0).alias("cell"), F.lit(cosine._HOME).alias("role"),
+            F.array(F.lit("x")).alias("ids"), F.array(F.lit(1)).alias("weights"), F.lit(b"").alias("mat"))
+        pairs = cosine._tile_pairs(tiles, skip_balls=False)
+        met = pairs.groupBy("cell", "row", "column").count().agg(F.max("count"), F.sum("count")).first()
+        assert met[1] == n * (n + 1) // 2 and met[0] <= 144
+
+
 @pytest.mark.parametrize("n_cells", [1, 7])
 @pytest.mark.parametrize("kind", ["float", "double"])
 def test_cosine_join_is_exact(spark, n_cells, kind):
