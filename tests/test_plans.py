@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newsfunnel import dims
 from newsfunnel.operators import clean, ingest, merge, rank, titles
+from newsfunnel.session import map_batches
 
 from checks import views as V
 
@@ -50,3 +51,14 @@ def test_url_dedup_limits_groups_on_narrow_rows(spark, sf, tmp_path):
     text = plan(clean.dedupe_by_url(df).select("id", "feed_pos"))
     assert "WindowGroupLimit" in text and "SortAggregate" not in text
     assert "snippet" not in text and "title" not in text  # unselected text is not read
+
+
+def test_batches_for_python_are_bounded_by_bytes(spark):
+    """Rows of a megabyte, as pairs of vector tiles are, do not go to a worker by dozens."""
+    rows = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1_000_000).alias("s"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch.assign(n=len(batch))[["n"]]
+
+    assert map_batches(rows, sizes, "n int").agg(F.max("n")).first()[0] <= 8
