@@ -72,13 +72,15 @@ def write_snapshot(
     if keep is not None and keep < 1:
         raise ValueError("at least the new version is kept")
     spark = tables["deals"].sparkSession
-    if not force and tables["deals"].isEmpty():
-        existing = _existing_deals(spark, path)
-        if existing:
-            raise EmptySnapshotError(f"run has no deals, current snapshot has {existing}")
     version = f"v-{uuid.uuid4().hex}"
-    for name, table in tables.items():
+    # Deals come first and are looked at where they are stored, so that they are computed once.
+    for name, table in sorted(tables.items(), key=lambda t: t[0] != "deals"):
         table.write.mode("error").parquet(f"{path}/{version}/{name}")
+        if name == "deals" and not force and spark.read.schema(table.schema).parquet(f"{path}/{version}/deals").isEmpty():
+            existing = _existing_deals(spark, path)
+            if existing:
+                delete_tree(spark, f"{path}/{version}")
+                raise EmptySnapshotError(f"run has no deals, current snapshot has {existing}")
     names = spark.createDataFrame([(n,) for n in tables], "value string")
     names.coalesce(1).write.mode("error").text(f"{path}/{version}/tables")
     try:

@@ -8,7 +8,7 @@ from newsfunnel import dims
 from newsfunnel.operators import clean, ingest, merge, rank, titles
 from newsfunnel.session import map_batches
 
-from checks import views as V
+from checks import q_deals, views as V
 
 
 def plan(df) -> str:
@@ -62,3 +62,9 @@ def test_batches_for_python_are_bounded_by_bytes(spark):
             yield batch.assign(n=len(batch))[["n"]]
 
     assert map_batches(rows, sizes, "n int").agg(F.max("n")).first()[0] <= 8
+
+
+def test_exports_join_the_order_tables_once(spark, sf):
+    """Deals, articles and sources are stored; scores and lists of publishers start from there."""
+    text = plan(q_deals.exported(spark, sf))
+    assert "lineitem" not in text and "supplier" not in text

@@ -196,3 +196,19 @@ def test_more_spellings_of_dates(spark):
     df = spark.createDataFrame([(k,) for k in MORE_DATES], "c string")
     shown = F.date_format(dates.parse_feed_date(F.col("c")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     assert {r["c"]: r["d"] for r in df.select("c", shown.alias("d")).collect()} == MORE_DATES
+
+
+def test_a_snapshot_computes_its_deals_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    deals = spark.range(0, 5, 1, 1).mapInPandas(rows, "id long")
+    snapshot.write_snapshot({"funnel": spark.range(1), "deals": deals}, str(tmp_path / "s"))
+    assert seen.value == 5
+    with pytest.raises(snapshot.EmptySnapshotError):
+        snapshot.write_snapshot({"deals": spark.range(0)}, str(tmp_path / "s"))
+    assert len(os.listdir(tmp_path / "s")) == 2  # the version and its pointer; nothing of the refused one
