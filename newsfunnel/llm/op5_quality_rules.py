@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsfunnel.llm.textkit import NOT_SPACE, chunks, gram_hashes, map_arrow, range_hashes, stage, table, words
-from newsfunnel.llm.tokens import byte_bpe, piece_bpe
+from newsfunnel.llm.tokens import both_bpe
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -98,7 +98,7 @@ def token_entropy(ids: np.ndarray) -> float:
 
 
 def _measure(batches, byte_path: str | None, piece_path: str | None):
-    tokens, pieces = byte_bpe(byte_path), piece_bpe(piece_path)
+    both = both_bpe(byte_path, piece_path)
     for batch in batches:
         texts = batch.column(1)
         columns: list[list] = [[] for _ in range(10)]
@@ -116,8 +116,8 @@ def _measure(batches, byte_path: str | None, piece_path: str | None):
                 a, b = int(chunk.offsets[r]), int(chunk.offsets[r + 1])
                 i, j = int(splits[r]), int(splits[r + 1])
                 text = texts[chunk.first + r].as_py() or ""
-                ids = np.frombuffer(tokens.packed(text), dtype="<u4")
-                n_pieces, fallback = pieces.counts(text)
+                packed, n_pieces, fallback = both.measure(text)
+                ids = np.frombuffer(packed, dtype="<u4")
                 script = np.bincount(scripts[heads[a]:heads[b]], minlength=len(_SCRIPT_NAMES))
                 script[0] = 0
                 row = (

@@ -16,6 +16,7 @@ import public_tokenizers
 
 END_OF_TEXT = "<|endoftext|>"
 CACHE_PIECES = 150_000  # entries of one generation (memory only, no effect on ids)
+BOTH_PIECES = 300_000  # the same where two vocabularies share a cache
 CACHED_CHARS = 64
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -43,11 +44,15 @@ class ByteBpe:
     def encode(self, text: str) -> list[int]:
         return self._encoding.encode(text, allowed_special={END_OF_TEXT})
 
+    def ids(self, piece: str) -> bytes:
+        """Ids of one piece, not cached."""
+        ids = self.encode(piece) if END_OF_TEXT in piece else self._encoding.encode_ordinary(piece)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _piece(self, piece: str) -> bytes:
         out = self._old.get(piece)
         if out is None:
-            ids = self.encode(piece) if END_OF_TEXT in piece else self._encoding.encode_ordinary(piece)
-            out = struct.pack(f"<{len(ids)}I", *ids)
+            out = self.ids(piece)
         if len(piece) <= CACHED_CHARS:
             if len(self._cache) >= CACHE_PIECES:
                 self._old, self._cache = self._cache, {}
@@ -77,12 +82,15 @@ class PieceBpe:
         self._cache: dict[str, int] = {}
         self._old: dict[str, int] = {}
 
+    def count(self, word: str) -> int:
+        """Pieces << 32 | bytes of one word, not cached."""
+        ids, fell = self._model.encode(word), self._bytes
+        return len(ids) << 32 | sum([fell[i] for i in ids])
+
     def _word(self, word: str) -> int:
         out = self._old.get(word)
         if out is None:
-            ids = self._model.encode(word)
-            fell = self._bytes
-            out = len(ids) << 32 | sum([fell[i] for i in ids])
+            out = self.count(word)
         if len(word) <= CACHED_CHARS:
             if len(self._cache) >= CACHE_PIECES:
                 self._old, self._cache = self._cache, {}
@@ -106,6 +114,35 @@ class PieceBpe:
         return total >> 32, total & 0xFFFFFFFF
 
 
+class BothBpe:
+    """The ids of one vocabulary and the counts of the other in one pass: a text is cut once and a piece
+    is looked up once."""
+
+    def __init__(self, tokens: ByteBpe, pieces: PieceBpe):
+        self._ids, self._counts = tokens.ids, pieces.count
+        # Two generations, as above.
+        self._cache: dict[str, tuple[bytes, int]] = {}
+        self._old: dict[str, tuple[bytes, int]] = {}
+
+    def _piece(self, piece: str) -> tuple[bytes, int]:
+        out = self._old.get(piece) or (self._ids(piece), self._counts(piece[1:]))
+        if len(piece) <= CACHED_CHARS:
+            if len(self._cache) >= BOTH_PIECES:
+                self._old, self._cache = self._cache, {}
+            self._cache[piece] = out
+        return out
+
+    def measure(self, text: str) -> tuple[bytes, int, int]:
+        """(ids, pieces, bytes that characters fall back to), as `packed` and `counts` give them."""
+        if not text:
+            return b"", 0, 0
+        make = self._piece
+        first, *rest = _CUT.split(text)  # the first piece has no space that stands for a mark
+        found = [self._cache.get(p) or make(p) for p in rest]
+        total = self._counts(first) + sum([n for _, n in found])
+        return self._ids(first) + b"".join([ids for ids, _ in found]), total >> 32, total & 0xFFFFFFFF
+
+
 @functools.cache
 def byte_bpe(path: str | None = None) -> ByteBpe:
     """One per worker, so that its cache serves all tasks of the worker."""
@@ -115,3 +152,8 @@ def byte_bpe(path: str | None = None) -> ByteBpe:
 @functools.cache
 def piece_bpe(path: str | None = None) -> PieceBpe:
     return PieceBpe(path)
+
+
+@functools.cache
+def both_bpe(byte_path: str | None = None, piece_path: str | None = None) -> BothBpe:
+    return BothBpe(byte_bpe(byte_path), piece_bpe(piece_path))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from newsfunnel.llm import op5_quality_rules as rules
 from newsfunnel.llm import op7_warc as warc
-from newsfunnel.llm import op8_html_text as pages
+from newsfunnel.llm import op8_html_text as pages, tokens
 from newsfunnel.llm.op4_quality_classifier import classify, expectation_maximisation
 from newsfunnel.llm.op6_language import _sample_each, fit_temperature, identify_languages, softmax
 
@@ -381,3 +381,12 @@ def test_unclosed_tags_take_linear_time(unit):
 def test_a_very_long_page():
     page = article_of(BODY * 40_000)  # 3 MB
     assert pages.extract(page, pages.DEFAULT) == "\n".join([BODY_TEXT] * 40_000)
+
+
+def test_one_pass_gives_ids_and_counts_of_both_vocabularies(monkeypatch):
+    """Also when pieces go through both generations of the cache."""
+    monkeypatch.setattr(tokens, "BOTH_PIECES", 3)
+    both = tokens.BothBpe(tokens.byte_bpe(), tokens.piece_bpe())
+    for text in ("", "a", " a b", "one two  three one two", "x\n y \u00e9t\u00e9 \u2603 \u2603 <|endoftext|> z", "\u4e2d " * 9, "q" * 100 + " " + "q" * 100):
+        for _ in range(2):
+            assert both.measure(text) == (tokens.byte_bpe().packed(text), *tokens.piece_bpe().counts(text))
