@@ -378,3 +378,19 @@ def test_echo_matching_without_answers(spark):
     out = batches.match_by_echo(packed, responses).select(
         "n", batches.screen_flag(F.col("answer")).alias("s")).collect()
     assert {r["n"]: r["s"] for r in out} == {1: None, 2: True, 3: False}
+
+
+def test_runs_of_white_space_become_one_space(spark):
+    texts = ["a b", "a  b", "a\tb", " \n a   b　", "a ﻿ b c ", "", "   ", "a<br> <br>b &nbsp; c"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string").select(text.strip_html(F.col("s")).alias("s"))
+    assert [r["s"] for r in df.collect()] == ["a b", "a b", "a b", "a b", "a b c", "", "", "a b c"]
+
+
+def test_texts_are_cleaned_after_copies_have_gone(spark):
+    """Both copies of a page are told apart by their URL; only one of them has its texts cleaned."""
+    rows = [("https://x.com/p?utm_source=a", "<b>T</b>", "S &amp; s", "X", 1), ("https://x.com/p", "<b>T</b>", "S &amp; s", "X", 2)]
+    raw = spark.createDataFrame(rows, "url string, title string, snippet string, source string, feed_pos long").withColumn(
+        "published_at", F.lit("2024-01-01").cast("timestamp"))
+    told = clean.dedupe_by_url(clean.identify_articles(raw, dims.alias_dim(spark), dims.tier_dim(spark)))
+    assert [(r["title"], r["feed_pos"]) for r in told.collect()] == [("<b>T</b>", 1)]
+    assert [(r["title"], r["snippet"]) for r in clean.plain_texts(told).collect()] == [("T", "S & s")]
