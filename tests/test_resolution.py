@@ -142,6 +142,43 @@ def test_titles_of_one_vocabulary_are_told_apart_by_letters(spark, monkeypatch):
     assert met["near"] < 2000  # of 19,900 pairs
 
 
+def test_a_family_is_not_compared_again_in_a_gram_of_a_foreign_pivot(spark, monkeypatch):
+    """The smallest title shares most grams of 300 near copies and matches none of them."""
+    halves = "quarterly report of the regional dairy ", "association on milk prices and yields "
+    rows = [("a0000", halves[1] + halves[0] + "zero")]
+    rows += [(f"n{i:04d}", "zq " + "".join(halves) + f"{i:03d}") for i in range(300)]
+    met, cut = [], titles.cut_lineage
+
+    def seen(df, label="stage"):
+        out = cut(df, label)
+        if label == "near":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(titles, "cut_lineage", seen)
+    got = linked_groups(spark, titles.title_links(spark.createDataFrame(rows, "id string, title string")))
+    assert got == {i: "n0000" for i, _ in rows[1:]}
+    assert sum(met) < 5 * 300
+
+
+@pytest.mark.parametrize("width", [3, 6])
+def test_enough_grams_outlast_the_edits(width):
+    rng = random.Random(width)
+    for _ in range(300):
+        begins = rng.sample(range(60), rng.randrange(1, 50))
+        edits = rng.randrange(1, 6)
+
+        def needed(some):  # the fewest letters that touch every gram
+            return next(k for k in range(len(some) + 1) if covers(sorted(some), k))
+
+        def covers(some, k):
+            return not some or (k > 0 and covers([b for b in some if b > some[0] + width - 1], k - 1))
+
+        n = titles._enough(begins, width, edits)
+        assert n == len(begins) or needed(begins[:n]) > edits
+        assert n <= width * edits + 1 and (n == 1 or needed(begins[:n - 1]) <= edits)
+
+
 def vectors(spark, mat, kind="float"):
     rows = [(f"v{i:04d}", [float(x) for x in v]) for i, v in enumerate(mat)]
     return spark.createDataFrame(rows, f"id string, embedding array<{kind}>")
