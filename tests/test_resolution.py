@@ -196,6 +196,33 @@ def test_a_crowded_cell_is_cut_into_equal_keys(spark, monkeypatch):
         assert met[1] == n * (n + 1) // 2 and met[0] <= 144
 
 
+def test_single_precision_leaves_no_cosine_open():
+    """Cosines a hair from the threshold, on either side, are decided in double precision."""
+    rng = np.random.default_rng(11)
+    left = rng.normal(size=(70, 64))
+    left /= np.linalg.norm(left, axis=1, keepdims=True)
+    side = rng.normal(size=(70, 64))
+    side -= (side * left).sum(axis=1, keepdims=True) * left
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = 0.4 + np.linspace(-1e-7, 1e-7, 70)[:, None]
+    right = cos * left + np.sqrt(1 - cos ** 2) * side
+    assert (cosine._reaching(0.4)(left, right) == (left @ right.T >= 0.4)).all()
+
+
+def test_links_move_a_vector_in_fewer_tile_pairs(spark, monkeypatch):
+    """2,000 vectors of one cell are a few tile pairs for links, not 36."""
+    rng = np.random.default_rng(12)
+    seen, products = [], cosine._products
+
+    def count(pairs, *rest):
+        seen.append(pairs.count())
+        return products(pairs, *rest)
+
+    monkeypatch.setattr(cosine, "_products", count)
+    cosine.cosine_links(vectors(spark, rng.normal(size=(2000, 16))), 0.9, n_cells=1).count()
+    assert seen[0] <= 15
+
+
 @pytest.mark.parametrize("n_cells", [1, 7])
 @pytest.mark.parametrize("kind", ["float", "double"])
 def test_cosine_join_is_exact(spark, n_cells, kind):
