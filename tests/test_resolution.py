@@ -258,6 +258,62 @@ def test_cosine_join_is_exact(spark, n_cells, kind):
     assert top == best
 
 
+def pairs_of_rows(rows, low, high=9.0):
+    """What the SQL of similar_pairs gives: every two rows with different ids."""
+    out = []
+    for n, (a, x) in enumerate(rows):
+        for b, y in rows[n + 1:]:
+            if a is None or b is None or a == b or not any(x) or not any(y):
+                continue
+            sim = 1.0 if x == y else float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y))
+            if low <= sim < high:
+                out.append((min(a, b), max(a, b), round(sim, 6)))
+    return sorted(out, key=lambda r: (-r[2], r[0], r[1]))
+
+
+def rows_with_copies():
+    """Vectors that several ids have, rows that come twice, ids with two vectors, null ids, zeros."""
+    rng = np.random.default_rng(15)
+    base = [[float(v) for v in row] for row in rng.normal(size=(40, 6))]
+    rows = [(f"v{i:03d}", v) for i, v in enumerate(base)]
+    rows += [(f"c{i:03d}", base[i % 7]) for i in range(20)] + [rows[3], rows[3], rows[12], rows[13]]
+    rows += [("v001", base[20]), ("c001", base[2]), ("x", base[30]), ("x", base[31]), ("x", base[30])]
+    rows += [(None, base[5]), (None, base[33]), ("z", [0.0] * 6)]
+    return rows
+
+
+@pytest.mark.parametrize("n_cells", [1, 5])
+def test_pairs_of_rows_with_equal_vectors_are_reported(spark, n_cells):
+    rows = rows_with_copies()
+    df = spark.createDataFrame(rows, "id string, embedding array<double>")
+    got = cosine.cosine_pairs(df, 0.4, n_cells=n_cells, copies=True).collect()
+    want = pairs_of_rows(rows, 0.4)
+    assert sorted((r["a"], r["b"], round(r["sim"], 6)) for r in got) == sorted(want)
+    alone = cosine.cosine_pairs(df.filter("id like 'v%'").dropDuplicates(["embedding"]), 0.4, n_cells=n_cells, copies=True)
+    assert alone.filter("a >= b").count() == 0
+    none = df.filter("id = 'z' or id is null")
+    assert cosine.cosine_pairs(none, 0.4, n_cells=n_cells, copies=True).collect() == []
+
+
+@pytest.mark.parametrize("name", ["similar_pairs", "similarity_band"])
+def test_pair_queries_report_every_row_of_a_vector(spark, tmp_path, name):
+    """Two ids of one vector pair with each other and each of them with the rest, as in the SQL."""
+    from checks import catalog
+
+    rng = np.random.default_rng(16)
+    base = [[float(v) for v in row] for row in rng.normal(size=(30, 4))]
+    vecs = [(i, v, 0) for i, v in enumerate(base)] + [(100 + i, v, 0) for i, v in enumerate(base[:10])]
+    spark.createDataFrame(vecs, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, f"t{i}", "en", "s", 2) for i, _, _ in vecs], "doc_id long, text string, lang string, "
+                          "source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    low, high, most = {"similar_pairs": (0.4, 9.0, None), "similarity_band": (0.35, 0.45, None)}.get(name, (0.25, 0.45, 22))
+    def key(i):
+        return f"a{i:0>10}" if name == "top_pairs_with_titles" else i
+    want = pairs_of_rows([(str(i), v) for i, v, _ in vecs], low, high)[:most]
+    got = catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted((r["a"], r["b"], r["sim"]) for r in got) == sorted((key(a), key(b), s) for a, b, s in want)
+
+
 def test_cosine_links_stay_linear_in_near_copies(spark):
     rng = np.random.default_rng(9)
     near = rng.normal(size=(1, 16)) + rng.normal(scale=0.01, size=(700, 16))
