@@ -295,7 +295,16 @@ def test_pairs_of_rows_with_equal_vectors_are_reported(spark, n_cells):
     assert cosine.cosine_pairs(none, 0.4, n_cells=n_cells, copies=True).collect() == []
 
 
-@pytest.mark.parametrize("name", ["similar_pairs", "similarity_band"])
+@pytest.mark.parametrize("n", [1, 6, 40])
+@pytest.mark.parametrize("low,high", [(0.25, 0.6), (0.5, 1.5)])
+def test_top_pairs_count_rows_with_equal_vectors(spark, n, low, high):
+    rows = rows_with_copies()
+    df = spark.createDataFrame(rows, "id string, embedding array<double>")
+    got = cosine.top_pairs(df, low, high, n, n_cells=3, copies=True).collect()
+    assert [(r["a"], r["b"], round(r["sim"], 6)) for r in got] == pairs_of_rows(rows, low, high)[:n]
+
+
+@pytest.mark.parametrize("name", ["similar_pairs", "top_pairs", "similarity_band", "top_pairs_with_titles"])
 def test_pair_queries_report_every_row_of_a_vector(spark, tmp_path, name):
     """Two ids of one vector pair with each other and each of them with the rest, as in the SQL."""
     from checks import catalog
