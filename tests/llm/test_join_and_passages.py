@@ -164,6 +164,13 @@ def found_of(spark, texts):
     return {(r["doc_id"], r["start_word"], r["end_word"], r["copy"]) for r in passage_spans(repeated_passages(df)).collect()}
 
 
+def test_diagonals_of_repeated_text_keep_their_blocks():
+    """Matches of one run stay one block when those of other diagonals lie between them."""
+    pos = np.repeat(np.arange(0, 60, 5), 3)
+    src = pos + np.tile([0, 31, 62], 12)
+    assert blocks_of(pos, src, 6) == [[0, 61, 0], [0, 61, 31], [0, 61, 62]]
+
+
 def test_two_passages_of_one_chain_are_both_found(spark):
     rng = random.Random(8)
     texts, want = [], set()
@@ -220,6 +227,21 @@ def test_fragments_in_other_documents_take_no_partner(spark):
     assert found_of(spark, texts) == want
 
 
+def test_fragments_one_word_short_of_a_passage_take_no_partner(spark):
+    """Every 41 words of a passage stand in the first and the last documents, its 50 words in neither."""
+    rng = random.Random(12)
+    texts, want = [], set()
+    for n, size in enumerate([50, 50, 53, 55, 59, 59]):
+        passage = words(rng, size, 10**9)
+        parts = [passage[i:i + 49] for i in range(0, size - 49, 4)] + [passage[size - 49:]]
+        whole = [passage] * (2 + n % 2)
+        for i, p in enumerate([*parts, *whole, *parts]):
+            texts.append((100 * n + i, " ".join(words(rng, 30, 10**9) + p + words(rng, 30, 10**9))))
+        at = [100 * n + len(parts) + i for i in range(len(whole))]
+        want |= {(i, 30, 30 + size, False) for i in at[:-1]} | {(i, 30, 30 + size, True) for i in at[1:]}
+    assert found_of(spark, texts) == want
+
+
 def test_rows_that_share_an_id_are_searched_and_cut(spark):
     rng = random.Random(11)
     one, two, fresh = (words(rng, 80, 10**9) for _ in range(3))
