@@ -2,13 +2,16 @@
 
 import datetime as dt
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from newsfunnel.functions import dates
-from newsfunnel.operators import batches, clusters, components, merge, numbering
-from newsfunnel.session import StageStore, cut_lineage, drop_path, path_exists, run_dir, shared_dir, stage_store
+from newsfunnel.operators import batches, clusters, components, merge, numbering, titles
+from newsfunnel.session import (
+    SHUFFLE_SETTING, StageStore, cut_lineage, drop_path, path_exists, run_dir, shared_dir, stage_store,
+)
 from newsfunnel.sources import feeds, snapshot
 from newsfunnel.streaming import refresh
 
@@ -212,3 +215,41 @@ def test_a_snapshot_computes_its_deals_once(spark, tmp_path):
     with pytest.raises(snapshot.EmptySnapshotError):
         snapshot.write_snapshot({"deals": spark.range(0)}, str(tmp_path / "s"))
     assert len(os.listdir(tmp_path / "s")) == 2  # the version and its pointer; nothing of the refused one
+
+
+def shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f for f in manager.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    """Each stage's shuffles go when it is stored, not when the driver collects garbage."""
+    before = shuffle_files(spark)
+    stored = cut_lineage(spark.range(50_000).groupBy(F.xxhash64("id").alias("x")).count().repartition(3, "x"))
+    for _ in range(50):
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+    assert stored.count() == 50_000
+    assert spark.conf.get(SHUFFLE_SETTING, None) is None
+
+
+def test_large_tables_of_a_search_go_when_the_next_is_stored(spark):
+    """Of claims, grams, rounds and their like nothing stays but what the results read."""
+    store = StageStore(spark)
+    with stage_store(store):
+        deals = spark.createDataFrame(
+            [(f"d{i}", "M&A", "Marico", f"Zolvia {i // 2}", 5.0, "INR", None, dt.datetime(2024, 1, 1)) for i in range(20)],
+            "deal_id string, deal_type string, acquirer string, target string, deal_value double, currency string, "
+            "stake_pct double, announced_date timestamp")
+        links = merge.same_deal_links(deals)
+        assert {k.split("-")[0] for k in os.listdir(store.path.removeprefix("file:"))} == {"links"}
+        found = components.connected_components(links)
+        assert {k.split("-")[0] for k in os.listdir(store.path.removeprefix("file:"))} == {"links", "names", "edges"}
+        titles_ = spark.createDataFrame([(f"t{i}", f"one long title about a deal of number {i % 7}{i % 7}") for i in range(30)], "id string, title string")
+        edges = titles.title_links(titles_)
+        kept = {k.split("-")[0] for k in os.listdir(store.path.removeprefix("file:"))}
+        assert kept == {"links", "names", "edges", "starred", "rest", "copies"}
+    assert {r["component"] for r in found.collect()} and edges.count() >= 23
+    store.release()
